@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_mixing, op3_quality, op6_neardup, op10_sharding
+from . import op1_mixing, op3_quality, op5_secrets, op6_neardup, op9_decontamination, op10_sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +25,19 @@ def op3_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def op5_secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_secrets.secret_digest(op5_secrets.find_secrets(_table(spark, sf_dir, "documents")))
+
+
 def op6_neardup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_neardup.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
 
 
+def op9_decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = op9_decontamination.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", "item_id", "matched", "n_windows", "coverage", "changed_slots")
+
+
 def op10_sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = op10_sharding.shard_rows(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -37,7 +46,9 @@ def op10_sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing_query,
     "op3_quality": op3_quality_query,
+    "op5_secrets": op5_secrets_query,
     "op6_neardup": op6_neardup_query,
+    "op9_decontamination": op9_decontamination_query,
     "op10_sharding": op10_sharding_query,
 }
 
