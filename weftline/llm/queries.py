@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_mixing, op3_quality, op5_secrets, op6_neardup, op9_decontamination, op10_sharding
+from . import op1_mixing, op3_quality, op4_linededup, op5_secrets, op6_neardup, op7_warc, op9_decontamination, op10_sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op3_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def op4_linededup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = op4_linededup.classify_lines(_table(spark, sf_dir, "documents"))
+    return lines.select("doc_id", "line_no", "kept", F.col("keeper.rk").alias("keeper_doc_id"), F.col("keeper.line_no").alias("keeper_line_no"))
+
+
 def op5_secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_secrets.secret_digest(op5_secrets.find_secrets(_table(spark, sf_dir, "documents")))
 
@@ -33,6 +38,11 @@ def op6_neardup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_neardup.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
 
 
+def op7_warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = op7_warc.capture_histories(_table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+
+
 def op9_decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = op9_decontamination.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return leaks.select("doc_id", "item_id", "matched", "n_windows", "coverage", "changed_slots")
@@ -46,8 +56,10 @@ def op10_sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing_query,
     "op3_quality": op3_quality_query,
+    "op4_linededup": op4_linededup_query,
     "op5_secrets": op5_secrets_query,
     "op6_neardup": op6_neardup_query,
+    "op7_warc": op7_warc_query,
     "op9_decontamination": op9_decontamination_query,
     "op10_sharding": op10_sharding_query,
 }
