@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_mixing, op3_quality, op4_linededup, op5_secrets, op6_neardup, op7_warc, op9_decontamination, op10_sharding
+from . import op1_mixing, op2_licenses, op3_quality, op4_linededup, op5_secrets, op6_neardup, op7_warc, op8_html, op9_decontamination, op10_sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_licenses_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = _table(spark, sf_dir, "labels").where("quality = 1")
     out = op3_quality.quality_rules(_table(spark, sf_dir, "documents"), trusted)
@@ -43,6 +47,10 @@ def op7_warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
 
 
+def op8_html_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_html.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op9_decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = op9_decontamination.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return leaks.select("doc_id", "item_id", "matched", "n_windows", "coverage", "changed_slots")
@@ -55,11 +63,13 @@ def op10_sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing_query,
+    "op2_licenses": op2_licenses_query,
     "op3_quality": op3_quality_query,
     "op4_linededup": op4_linededup_query,
     "op5_secrets": op5_secrets_query,
     "op6_neardup": op6_neardup_query,
     "op7_warc": op7_warc_query,
+    "op8_html": op8_html_query,
     "op9_decontamination": op9_decontamination_query,
     "op10_sharding": op10_sharding_query,
 }
