@@ -56,6 +56,13 @@ def unit_interval(h: Column, cells: Column) -> Column:
     return F.floor(u * cells).cast("long")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body uses it, and
+    also inside lambdas (a projection that is merged into its consumer would be
+    computed at each use)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 # --- numpy helpers for tasks -------------------------------------------------
 
 _P = np.uint64(0x9E3779B97F4A7C15)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MIN_SIMILARITY, SHINGLE_WORDS, only, stage
+from .common import MIN_SIMILARITY, SHINGLE_WORDS, let, only, stage
 
 BANDS, ROWS = 32, 2
 TOKEN = r"[a-z0-9]+(?:[.'-][a-z0-9]+)*"
@@ -107,8 +107,12 @@ def _xor(mask: int):
 
 def band_keys(shingles: Column, size: Column) -> Column:
     """array<long>: the keys of the bands of a set of shingle hashes."""
-    least = [F.array_min(F.transform(shingles, _xor(m))) for m in _masks()]
-    return F.array(*[F.xxhash64(size, F.lit(b), *least[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)])
+
+    def keys(s: Column) -> Column:
+        least = [F.array_min(F.transform(s, _xor(m))) for m in _masks()]
+        return F.array(*[F.xxhash64(size, F.lit(b), *least[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)])
+
+    return let(F.array_distinct(shingles), keys)
 
 
 def shingle_hashes(words: Column) -> Column:
@@ -126,14 +130,27 @@ def template_table(spark: SparkSession, templates: dict[str, list[str]]) -> Data
     return marks.withColumn("keys", band_keys(F.col("marks"), F.col("size")))
 
 
-def _cuts(size: int) -> Column:
-    """array<struct<size, start, length>>: the windows for a size class that
+def _cuts(size: int, spots: Column, hashes: Column) -> Column:
+    """array<struct<size, start, window>>: the windows for a size class that
     hold one of the words `spots` of a text with the shingles `hashes`."""
     length, step = -(-5 * size // 4), max(1, size // 4)
     reach = length + SHINGLE_WORDS - 1  # words of a window
     around = lambda p: F.sequence(F.greatest(F.lit(0), F.ceil((p - reach + 1) / step)).cast("int"), F.floor(p / step).cast("int"))
-    inside = F.filter(F.array_distinct(F.flatten(F.transform("spots", around))), lambda k: k * step < F.size("hashes"))
-    return F.transform(inside, lambda k: F.struct(F.lit(size).alias("size"), (k * step).cast("int").alias("start"), F.lit(length).alias("length")))
+    inside = F.filter(F.array_distinct(F.flatten(F.transform(spots, around))), lambda k: k * step < F.size(hashes))
+    return F.transform(inside, lambda k: F.struct(F.lit(size).alias("size"), (k * step).cast("int").alias("start"), F.slice(hashes, k * step + 1, F.lit(length)).alias("window")))
+
+
+def cue_windows(text: Column, cues: dict[int, list[str]]) -> Column:
+    """The windows of all size classes that hold a cue word of the class."""
+    every = sorted({w for words in cues.values() for w in words})
+    spots = lambda w: F.filter(F.sequence(F.lit(0), F.size(w)), lambda i: F.get(w, i).isin(every))
+    words = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    found = let(words, lambda w: F.struct(w.alias("words"), spots(w).alias("spots"), shingle_hashes(w).alias("hashes")))
+
+    def of_class(f: Column, c: int) -> Column:
+        return _cuts(c, F.filter(f["spots"], lambda p: F.get(f["words"], p).isin(cues[c])), f["hashes"])
+
+    return let(found, lambda f: F.concat(*[of_class(f, c) for c in sorted(cues)]))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, min_containment: float = MIN_SIMILARITY) -> DataFrame:
@@ -149,16 +166,15 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
     templates = TEMPLATES if templates is None else templates
     known = template_table(docs.sparkSession, templates)
     texts = [t for group in templates.values() for t in group]
-    cues = cue_words(texts, min_containment) or ["\x00"]
-    sizes = sorted({size_class(len(s)) for t in texts if (s := template_shingles(t))})
+    of_size: dict[int, list[str]] = {}
+    for t in texts:
+        if s := template_shingles(t):
+            of_size.setdefault(size_class(len(s)), []).append(t)
+    cues = {c: cue_words(group, min_containment) for c, group in (of_size or {1: []}).items()}
     d = only(docs, doc_id="long", text="string").withColumn("text_key", F.xxhash64("text"))
-    any_cue = "(?i)(?:" + "|".join(map(re.escape, cues)) + ")"
-    d = d.where(F.col("text").rlike(any_cue)).withColumn("words", F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)))
-    d = d.withColumn("spots", F.filter(F.sequence(F.lit(0), F.size("words")), lambda i: F.get("words", i).isin(cues)))
-    d = d.where(F.size("spots") > 0).withColumn("hashes", shingle_hashes(F.col("words"))).where(F.size("hashes") > 0)
-    windows = d.select("doc_id", "text_key", "hashes", F.explode(F.concat(*map(_cuts, sizes))).alias("w"))
-    windows = windows.select("doc_id", "text_key", "w.size", "w.start", F.slice("hashes", F.col("w.start") + 1, F.col("w.length")).alias("window"))
-    windows = windows.withColumn("keys", band_keys(F.array_distinct("window"), F.col("size")))
+    any_cue = "(?i)(?:" + "|".join(sorted({re.escape(w) for words in cues.values() for w in words}) or [r"\z."]) + ")"
+    windows = d.where(F.col("text").rlike(any_cue)).select("doc_id", "text_key", F.explode(cue_windows(F.col("text"), cues)).alias("w"))
+    windows = windows.select("doc_id", "text_key", "w.size", "w.start", "w.window").withColumn("keys", band_keys(F.col("window"), F.col("size")))
     # the same template in the same window by several bands is one pair
     bands = known.select("license", "template", "marks", F.col("size").alias("s"), F.explode("keys").alias("key"))
     found = windows.withColumn("key", F.explode("keys")).drop("keys").join(bands, "key").where("size = s")

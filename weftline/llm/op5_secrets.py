@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, stage
+from .common import let, only, stage
 
 # fixed values of the contract
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -39,23 +39,33 @@ FALSE_DISCOVERIES = 0.01
 STEPS, LAST_STEP = 20, 2000
 
 
-def _spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
-    """array<struct<start, kind, end>> of the matches, in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    empty = F.expr("cast(array() as array<struct<start: int, kind: int, end: int>>)")
-    last = lambda acc: F.when(F.size(acc) > 0, F.element_at(acc, -1)["end"]).otherwise(F.lit(0))
-    pair = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size")))
+EMPTY = "cast(array() as array<struct<start: int, kind: int, end: int>>)"
 
-    def add(acc: Column, x: Column) -> Column:
-        start = last(acc) + x["gap"]
-        return F.concat(acc, F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["size"]).alias("end"))))
 
-    spans = F.aggregate(pair, empty, add)
-    if keep is not None:
-        kept = F.regexp_extract_all(text, F.lit(pattern), F.lit(keep[0]))
-        spans = F.transform(F.filter(F.arrays_zip(spans.alias("s"), kept.alias("k")), lambda x: F.length(x["k"]) >= keep[1]), lambda x: x["s"])
-    return F.when(F.size(found) > 0, spans).otherwise(empty)
+def _placed(text: Column, found: Column, pattern: str, kind: int) -> Column:
+    """array<struct<start, kind, end>> of the matches found, in code points:
+    they stand between the parts that a split at the pattern leaves."""
+    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+    pair = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size")))
+
+    def add(spans: Column, x: Column) -> Column:
+        start = F.when(F.size(spans) > 0, F.element_at(spans, -1)["end"]).otherwise(F.lit(0)) + x["gap"]
+        return F.concat(spans, F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["size"]).alias("end"))))
+
+    return F.aggregate(pair, F.expr(EMPTY), add)
+
+
+def _spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
+    """Spans of the matches of which the group is long enough."""
+
+    def of(found: Column) -> Column:
+        spans = _placed(text, found, pattern, kind)
+        if group:
+            kept = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+            spans = F.transform(F.filter(F.arrays_zip(spans.alias("s"), kept.alias("k")), lambda x: F.length(x["k"]) >= least), lambda x: x["s"])
+        return F.when(F.size(found) > 0, spans).otherwise(F.expr(EMPTY))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of)
 
 
 def alphabet_size(token: Column) -> Column:
@@ -70,23 +80,34 @@ def alphabet_size(token: Column) -> Column:
 def randomness_step(token: Column) -> Column:
     """How small the p-value of a candidate is, in STEPS a power of ten; 0 if a
     test finds that it isn't random."""
-    n = F.length(token).cast("double")
     codes = F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.ascii(F.substring(token, i, F.lit(1))))
+    return let(codes, lambda c: _step(token, c))
+
+
+def _step(token: Column, codes: Column) -> Column:
+    n = F.length(token).cast("double")
     size = alphabet_size(token).cast("double")
     add = lambda items, f: F.aggregate(items, F.lit(0.0), lambda a, x: a + f(x))
     squares = add(F.array_distinct(codes), lambda c: F.pow(F.size(F.filter(codes, lambda x: x == c)), F.lit(2.0)))
+    middle = F.element_at(F.array_sort(codes), (F.length(token) / 2).cast("int") + 1)
+    mean = add(codes, lambda c: c) / n
+    known = F.struct(squares.alias("squares"), middle.alias("middle"), mean.alias("mean"))
+    return let(known, lambda k: _tested(n, size, codes, k))
+
+
+def _tested(n: Column, size: Column, codes: Column, known: Column) -> Column:
+    add = lambda items, f: F.aggregate(items, F.lit(0.0), lambda a, x: a + f(x))
+    squares, middle, mean = known["squares"], known["middle"], known["mean"]
     chi = squares * size / n - n
     df = size - 1
     uneven = (F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (df * 9))) / F.sqrt(2 / (df * 9))
     # runs about the median
-    middle = F.element_at(F.array_sort(codes), (F.length(token) / 2).cast("int") + 1)
     low = add(codes, lambda c: F.when(c < middle, 1.0).otherwise(0.0))
     mean_runs = low * (n - low) * 2 / n + 1
-    pairs = F.zip_with(F.slice(codes, F.lit(1), F.length(token) - 1), F.slice(codes, F.lit(2), F.length(token) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    pairs = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     runs = add(pairs, lambda p: F.when((p["a"] < middle) != (p["b"] < middle), 1.0).otherwise(0.0)) + 1
     runs_z = F.abs(runs - mean_runs) / F.sqrt((mean_runs - 1) * (mean_runs - 2) / (n - 1))
     # serial correlation
-    mean = add(codes, lambda c: c) / n
     spread = add(codes, lambda c: F.pow(c - mean, F.lit(2.0)))
     serial_z = F.abs(add(pairs, lambda p: (p["a"] - mean) * (p["b"] - mean)) / spread + 1 / n) * F.sqrt(n)
     # p-value: so low a chi-squared, where natural frequencies would raise it by excess
@@ -118,17 +139,16 @@ def find_secrets(docs: DataFrame, level: float = FALSE_DISCOVERIES) -> DataFrame
     gives an empty result; other columns fall away.
     """
     d = only(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
-    base = F.concat(_spans(F.col("text"), ASSIGN, 0, (2, MIN_ASSIGNED)), _spans(F.col("text"), ACCESS, 1), _spans(F.col("text"), HEX, 2))
-    d = d.withColumn("base", base).withColumn("tokens", _spans(F.col("text"), CANDIDATE, 3))
-
-    def sought(s: Column) -> Column:
-        token = F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])
-        clear = ~F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
-        return clear & token.rlike("[0-9]") & token.rlike("[A-Za-z]")
-
-    d = d.withColumn("tokens", F.filter("tokens", sought))
-    scored = F.transform("tokens", lambda s: F.struct(s.alias("span"), randomness_step(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])).alias("step")))
-    found = stage(d.select("doc_id", "base", scored.alias("tokens")), "secret-spans")
+    text = F.col("text")
+    token = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])
+    base = F.concat(_spans(text, ASSIGN, 0, 2, MIN_ASSIGNED), _spans(text, ACCESS, 1), _spans(text, HEX, 2))
+    clear = lambda s, base: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
+    mixed = lambda s: token(s).rlike("[0-9]") & token(s).rlike("[A-Za-z]")
+    scored = lambda s: F.struct(s.alias("span"), let(token(s), randomness_step).alias("step"))
+    candidates = F.filter(_spans(text, CANDIDATE, 3), mixed)
+    both = let(base, lambda b: F.struct(b.alias("base"), F.transform(F.filter(candidates, lambda s: clear(s, b)), scored).alias("tokens")))
+    d = d.select("doc_id", both.alias("f")).select("doc_id", "f.base", "f.tokens")
+    found = stage(d, "secret-spans")
     cut = discovery_step(found.select(F.explode("tokens").alias("t")).select("t.step"), level)
     added = F.transform(F.filter("tokens", lambda t: t["step"] >= cut), lambda t: t["span"])
     return found.select("doc_id", F.array_sort(F.concat("base", added)).alias("secrets"))
