@@ -2,42 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.functions.staging import scratch_dir, stage
+
+__all__ = ["LONGS", "MIN_SIMILARITY", "SHINGLE_WORDS", "WORD", "WordHashes", "let", "mix64", "only", "powers", "scratch_dir", "shingles", "stage", "unit_interval", "window_hashes", "word_count", "word_hashes"]
+
 #: A word, as the contracts define it: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SHINGLE_WORDS = 5
 MIN_SIMILARITY = 0.8
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.  Only where the session
-    names none (as in tests) a local one is made and set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="weftline-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs a re-read of files, and what
-    comes after sees one fixed result, however often it is evaluated.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/weftline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under fixed types; extra columns fall away, so their
     names cannot clash with those an operator adds."""

@@ -9,10 +9,10 @@ coordinates, and the earliest per coordinate is kept: two texts agree in a
 coordinate with the probability of their weighted Jaccard similarity.
 
 Banding finds candidates; Jaccard over the shingle sets verifies them.  In a
-bucket every member is compared with the bucket's first.  Members that stay in
-different classes are then compared across classes, unless their distances to
-the first one rule a link out (Jaccard distance is a metric), so no link in a
-bucket is lost and yet large groups don't make all their pairs.
+bucket every member is compared with the bucket's most central member.  Members
+that stay in different classes are compared across classes, unless their
+distances to it rule a link out (Jaccard distance is a metric): no link in a
+bucket is lost, and members of one class don't make all their pairs.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.components import components
+
 from .common import MIN_SIMILARITY, WordHashes, mix64, only, shingles, stage, word_hashes
 
 BANDS = 25
@@ -128,26 +130,38 @@ def _sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"node": rows["node"], "shingles": sets})
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, comp: the least node that is reachable by edges (a, b).
+def _members(nodes: DataFrame) -> DataFrame:
+    """band, node, lead, priority: buckets of two nodes or more.
 
-    Labels sink along edges and then jump to their label's label, so the number
-    of rounds follows the logarithm of the longest path.
+    The first of a bucket is its most central node: that which has most
+    companions over all its buckets, as the original of edited copies has.
     """
-    both = stage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
-    touched = both.select(F.col("a").alias("node")).distinct()
-    labels = stage(touched.withColumn("comp", F.col("node")), "cc-labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        sunk = labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
-        sunk = stage(sunk, "cc-sunk")
-        upper = sunk.select(F.col("node").alias("comp"), F.col("comp").alias("upper"))
-        jumped = sunk.join(upper, "comp").select("node", "was", F.least("comp", "upper").alias("comp"))
-        jumped = stage(jumped, "cc-jumped")
-        labels = jumped.select("node", "comp")
-        if not jumped.where("comp < was").limit(1).count():
-            break
-    return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+    each = nodes.select("node", F.explode("bands").alias("band"))
+    many = each.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    each = stage(each.join(many, "band"), "dart-buckets")
+    central = each.groupBy("node").agg(F.sum("size").alias("companions"))
+    priority = F.shiftleft(F.least("companions", F.lit((1 << 31) - 1)), 32) + F.pmod(F.xxhash64("node"), F.lit(1 << 32))
+    each = each.drop("size").join(central.select("node", priority.alias("priority")), "node")
+    lead = each.groupBy("band").agg(F.max_by("node", "priority").alias("lead"))
+    return stage(each.join(lead, "band"), "dart-members")
+
+
+def _across(members: DataFrame, tested: DataFrame, comp: DataFrame, sets: DataFrame, min_similarity: float) -> DataFrame:
+    """a, b: all pairs of a bucket and of different classes that may yet be
+    links.  far is the distance to the bucket's first: if two are linked, theirs
+    differ by no more than the pair's own distance.  And a pair's smaller set is
+    no less than min_similarity of the larger."""
+    both = members.join(comp, "node").join(comp.select(F.col("node").alias("lead"), F.col("comp").alias("lead_comp")), "lead")
+    both = stage(both, "dart-within")
+    apart = both.where("comp <> lead_comp").select("band").distinct()
+    far = tested.select(F.col("a").alias("lead"), F.col("b").alias("node"), (1 - F.col("similarity")).alias("far"))
+    count = sets.select("node", F.size("shingles").alias("n"))
+    rest = both.join(apart, "band").join(far, ["lead", "node"]).join(count, "node").select("band", "node", "comp", "n", "far")
+    rest = stage(rest, "dart-rest")
+    one, two = rest.alias("one"), rest.alias("two")
+    on = (F.col("one.band") == F.col("two.band")) & (F.col("one.node") < F.col("two.node")) & (F.col("one.comp") != F.col("two.comp"))
+    near = (F.abs(F.col("one.far") - F.col("two.far")) <= 1 - min_similarity + 1e-9) & (F.least("one.n", "two.n") >= min_similarity * F.greatest("one.n", "two.n") - 1e-9)
+    return one.join(two, on & near).select(F.col("one.node").alias("a"), F.col("two.node").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -180,35 +194,19 @@ def near_duplicates(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) ->
     # one node for each different text
     first = rows.groupBy("text_key").agg(F.min("rk").alias("rk"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     nodes = stage(first.sortWithinPartitions("text_key").withColumn("node", F.monotonically_increasing_id()), "dart-nodes")
-    members = nodes.select("node", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").drop("last")
-    members = stage(members.join(shared, "band"), "dart-members")
+    members = _members(nodes)
     pairs = stage(members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "dart-pairs")
     sought = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     sought = nodes.join(sought, "node").select("node", "text_key", "rk")
     texts = keyed.join(sought, ["rk", "text_key"]).select("node", "text")
     sets = stage(texts.mapInPandas(_sets_of, "node long, shingles array<int>").dropDuplicates(["node"]), "dart-sets")
+    linked = F.col("similarity") >= min_similarity
     tested = stage(_verified(pairs, sets), "dart-tested")
-    links = tested.where(F.col("similarity") >= min_similarity).select("a", "b")
+    links = tested.where(linked).select("a", "b")
     comp = stage(components(nodes, links), "dart-classes")
-    # buckets that still hold several classes
-    within = members.join(comp, "node")
-    split = within.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("band")
-    far = tested.select(F.col("a").alias("lead"), F.col("b").alias("node"), (1 - F.col("similarity")).alias("far"))
-    count = sets.select("node", F.size("shingles").alias("n"))
-    rest = within.join(split, "band").join(far, ["lead", "node"], "left").join(count, "node").select("band", "node", "comp", "n", "far")
-    rest = stage(rest.where("far is not null"), "dart-rest")  # the first of a bucket has been compared with all
-    one, two = rest.alias("one"), rest.alias("two")
-    slack = 1 - min_similarity
-    cross = one.join(
-        two,
-        (F.col("one.band") == F.col("two.band")) & (F.col("one.node") < F.col("two.node")) & (F.col("one.comp") != F.col("two.comp"))
-        & (F.abs(F.col("one.far") - F.col("two.far")) <= slack + 1e-9)
-        & (F.least("one.n", "two.n") >= min_similarity * F.greatest("one.n", "two.n")),
-    ).select(F.col("one.node").alias("a"), F.col("two.node").alias("b")).distinct()
-    cross = stage(cross, "dart-cross")
-    if cross.limit(1).count():
-        late = stage(_verified(cross, sets), "dart-late").where(F.col("similarity") >= min_similarity).select("a", "b")
+    cross = stage(_across(members, tested, comp, sets, min_similarity), "dart-cross")
+    late = stage(_verified(cross, sets), "dart-late").where(linked).select("a", "b")
+    if late.limit(1).count():
         comp = stage(components(nodes, links.union(late)), "dart-classes")
     classed = nodes.join(comp, "node")
     total = classed.groupBy("comp").agg(F.min(F.struct("rk", "text_key")).alias("first"), F.sum("copies").alias("class_size"))
