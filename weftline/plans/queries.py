@@ -1,4 +1,418 @@
-"""The registered queries over the driver's tables, and their SQL."""
+"""The registered queries over the driver's tables, each with its SQL where SQL
+can say it."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.functions import scalars
+from weftline.operators import corroborate, entities, extract, geofence, graph, metrics, normalize, retrieve, smalltarget, tracks
+from weftline.plans import tables as T
+from weftline.plans.scenario import Fusion
+from weftline.sources import feeds, sinks
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _fusion(spark: SparkSession, sf_dir: str) -> Fusion:
+    return Fusion("events", T.observations(spark, sf_dir), T.zones(spark))
+
+
+def _join(column: str) -> F.Column:
+    return F.array_join(column, "|").alias(column)
+
+
+# --- sources, normalizers, scalars -------------------------------------------
+
+_CATALOG_SQL = "values " + ", ".join(f"('{n}', '{c}', {str(k).lower()}, '{a}')" for n, c, _, k, a, _ in feeds.CATALOG)
+
+
+@query(f"select category, count(*) as feeds, count(*) filter (keyless) as keyless, string_agg(distinct adapter, ',' order by adapter) as adapters from ({_CATALOG_SQL}) t(name, category, keyless, adapter) group by category")
+def feed_catalog_stats(spark, sf_dir):
+    return feeds.catalog_stats(spark)
+
+
+@query("select event_type as source, count(*) as reports, count(distinct value) as ids from events group by event_type")
+def feed_reports(spark, sf_dir):
+    """Events as JSON payloads of one feed per type, read by its adapter."""
+    item = F.struct(F.col("event_id").cast("string").alias("url"), F.col("event_type").alias("title"), F.lit("example.com").alias("domain"), F.col("value").cast("string").alias("seendate"))
+    e = T.table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.to_json(F.struct(F.array(item).alias("articles"))).alias("content"), F.lit("gdelt").alias("adapter"), F.lit(0).alias("feed_ord"))
+    return feeds.payload_reports(e).groupBy("source").agg(F.count("*").alias("reports"), F.countDistinct("timestamp").alias("ids"))
+
+
+@query(f"""with {T.OBSERVATIONS_SQL}, bad as (select id,
+  case when source = 'src3' then '' else source end as source, case when lat > 38 then lat + 60 else lat end as lat, case when reliability = 'E' then 'X' else reliability end as reliability from obs)
+select id, concat_ws('|', case when source = '' then 'missing source' end, case when lat > 90 then 'lat out of range' end, case when reliability = 'X' then 'bad reliability code' end) as problems from bad
+where source = '' or lat > 90 or reliability = 'X'""")
+def observation_validation(spark, sf_dir):
+    o = T.observations(spark, sf_dir)
+    o = o.withColumn("source", F.when(F.col("source") == "src3", "").otherwise(F.col("source"))).withColumn("lat", F.when(F.col("lat") > 38, F.col("lat") + 60).otherwise(F.col("lat")))
+    o = o.withColumn("reliability", F.when(F.col("reliability") == "E", "X").otherwise(F.col("reliability")))
+    return normalize.problems(o).where(F.size("problems") > 0).select("id", _join("problems"))
+
+
+@query("""select 'SIGINT' as discipline, 'unit' as source, strftime(ts, '%Y-%m-%d') as timestamp, concat('Signal metadata: emitter E', user_id, '; band ', event_type, case when event_id % 2 = 0 then concat('; bearing ', event_id % 360, 'deg') else '' end) as text,
+  concat('E', user_id) as entity, case when event_id % 4 = 0 then 'A' else 'B' end as reliability, case when event_id % 4 = 0 then '1' else '2' end as credibility from events""")
+def sigint_observations(spark, sf_dir):
+    """Events as signal metadata; their content never gets in."""
+    e = T.table(spark, sf_dir, "events")
+    graded = F.col("event_id") % 4 == 0
+    r = e.select(
+        F.concat(F.lit("E"), "user_id").alias("emitter_id"), F.col("event_type").alias("freq_band"), F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 360).alias("bearing"), F.lit("unit").alias("source"),
+        F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd").alias("timestamp"), F.col("props").alias("content"), F.when(graded, "A").alias("reliability"), F.when(graded, "1").alias("credibility"),
+    )
+    return normalize.normalize("sigint", r).select("discipline", "source", "timestamp", "text", "entity", "reliability", "credibility")
+
+
+@query("select o_orderstatus || o_orderpriority as code, upper(substr('ABCDEFG', (o_orderkey % 7)::int + 1, 1)) as rel, substr('1234567', (o_custkey % 7)::int + 1, 1) as cred, round(sqrt(w1 * w2), 4) as confidence from (select *, case o_orderkey % 7 when 0 then 1.0 when 1 then 0.8 when 2 then 0.6 when 3 then 0.4 when 4 then 0.2 else 0.5 end as w1, case o_custkey % 7 when 0 then 1.0 when 1 then 0.8 when 2 then 0.6 when 3 then 0.4 when 4 then 0.2 else 0.5 end as w2 from orders)")
+def admiralty_grade(spark, sf_dir):
+    o = T.table(spark, sf_dir, "orders")
+    o = o.select(F.concat("o_orderstatus", "o_orderpriority").alias("code"), F.expr("substr('ABCDEFG', cast(o_orderkey % 7 as int) + 1, 1)").alias("rel"), F.expr("substr('1234567', cast(o_custkey % 7 as int) + 1, 1)").alias("cred"))
+    return o.withColumn("confidence", scalars.grade_confidence(F.col("rel"), F.col("cred")))
+
+
+@query("""with n as (select s_suppkey as k, list_distinct(string_split(trim(regexp_replace(regexp_replace(lower(s_name), '[^\\w\\s]', ' ', 'g'), '[\\s\\-_/.]+', ' ', 'g')), ' ')) as t from supplier)
+select a.k as a, b.k as b, round(len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))::double, 6) as similarity from n a join n b on b.k = a.k + 1""")
+def name_similarity_pairs(spark, sf_dir):
+    n = T.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), scalars.name_tokens(F.col("s_name")).alias("t"))
+    other = n.select((F.col("k") - 1).alias("k"), F.col("k").alias("b"), F.col("t").alias("u"))
+    return n.join(other, "k").select(F.col("k").alias("a"), "b", F.round(scalars.jaccard(F.col("t"), F.col("u")), 6).alias("similarity"))
+
+
+@query(f"with {T.REPORTS_SQL}, w as (select source, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9._-]*')) as term from reports) select source, count(*) as tokens, count(distinct term) as terms from w group by source")
+def token_counts(spark, sf_dir):
+    w = T.reports(spark, sf_dir).select("source", F.explode(scalars.tokenize(F.col("text"))).alias("term"))
+    return w.groupBy("source").agg(F.count("*").alias("tokens"), F.countDistinct("term").alias("terms"))
+
+
+# --- extraction and graph ----------------------------------------------------
+
+_RX = {k: v.replace("(?U)", "") for k, v in extract.INDICATORS.items()}
+
+
+def _mentions_sql(source: str) -> str:
+    one = lambda k, rx: f"select '{k}' as type, unnest(regexp_extract_all(text, '{rx}')) as raw, id, report_ord from {source}"
+    kinds = " union all ".join(one(k, rx) for k, rx in _RX.items())
+    return f"mentions as (select type, case when type in ('email', 'url', 'sha256') then lower(raw) else raw end as value, id, report_ord from ({kinds}))"
+
+
+@query(f"with {T.REPORTS_SQL}, {_mentions_sql('reports')} select type, value, id as source_ref, count(*) as n from mentions group by all")
+def extract_indicators(spark, sf_dir):
+    return extract.extract_indicators(T.reports(spark, sf_dir)).groupBy("type", "value", "source_ref").agg(F.count("*").alias("n"))
+
+
+@query("select id as source_ref, type, substr(text, s::int + 1, 10) as head, s as start from (select 'd' || doc_id as id, text, 'ipv4' as type, instr(text, m) - 1 as s from (select doc_id, text, regexp_extract(text, '" + _RX["ipv4"] + "') as m from documents) where m <> '')")
+def first_indicator_position(spark, sf_dir):
+    """Where the first address of a document is, in code points."""
+    m = extract.extract_indicators(T.reports(spark, sf_dir).where("id like 'd%'")).where("type = 'ipv4'")
+    first = m.groupBy("source_ref").agg(F.min("start").cast("long").alias("start"), F.first("type").alias("type"))
+    d = T.reports(spark, sf_dir).select(F.col("id").alias("source_ref"), "text")
+    return first.join(d, "source_ref").select("source_ref", "type", F.expr("substr(text, int(start) + 1, 10)").alias("head"), "start")
+
+
+_TERMS = extract.gazetteer_terms(T.GAZETTEER)
+_GAZETTEER_SQL = " union all ".join(f"select '{k}' as type, '{c}' as canonical, id as source_ref, len(regexp_extract_all(' ' || regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_]+', '  ', 'g') || ' ', ' {t.lower().replace(' ', '  ')} ')) as n from reports" for k, c, t, _ in _TERMS)
+
+
+@query(f"with {T.REPORTS_SQL}, hits as ({_GAZETTEER_SQL}) select type, canonical, source_ref, sum(n)::bigint as n from hits where n > 0 group by all")
+def extract_gazetteer(spark, sf_dir):
+    r = T.reports(spark, sf_dir)
+    return extract.extract_gazetteer(r, T.GAZETTEER).groupBy("type", "canonical", "source_ref").agg(F.count("*").alias("n"))
+
+
+_RESOLVED_SQL = "select type, lower(value) as key, arg_min(value, report_ord) as canonical, array_to_string(list_sort(list(distinct value)), '|') as aliases, array_to_string(list_sort(list(distinct id)), '|') as sources, count(*) as mentions from mentions group by type, lower(value)"
+
+
+@query(f"with {T.REPORTS_SQL}, {_mentions_sql('reports')} {_RESOLVED_SQL}")
+def resolve_mentions(spark, sf_dir):
+    return extract.resolve_mentions(extract.extract_indicators(T.reports(spark, sf_dir))).select("type", "key", "canonical", _join("aliases"), _join("sources"), "mentions")
+
+
+_NODE = "type || '--' || substr(sha1(type || ':' || lower(value)), 1, 16)"
+_EDGES_SQL = f"seen as (select distinct id as source_ref, {_NODE} as eid from mentions), edges as (select a.eid as src, b.eid as dst, count(*)::double as weight from seen a join seen b on a.source_ref = b.source_ref and a.eid < b.eid group by 1, 2)"
+
+
+@query(f"with {T.LINKED_SQL}, {_mentions_sql('linked')}, {_EDGES_SQL} select src, dst, weight from edges")
+def comention_edges(spark, sf_dir):
+    return graph.comention_edges(extract.extract_indicators(T.linked_reports(spark, sf_dir))).select("src", "dst", "weight")
+
+
+@query(f"""with {T.LINKED_SQL}, {_mentions_sql('linked')}, {_EDGES_SQL},
+nodes as (select {_NODE} as eid, type, lower(value) as key, arg_min(value, report_ord) as value from mentions group by 1, 2, 3),
+pv as (select eid from nodes where lower(value) = 'desk.7@mail.example.com' order by type, key limit 1),
+near as (select dst as eid, weight from edges where src in (from pv) union all select src, weight from edges where dst in (from pv))
+select nodes.type, nodes.value, weight from near join nodes using (eid)""")
+def correlate_entity(spark, sf_dir):
+    m = extract.extract_indicators(T.linked_reports(spark, sf_dir))
+    return graph.correlate(graph.mention_nodes(m), graph.comention_edges(m), "Desk.7@mail.example.com").select("type", "value", "weight")
+
+
+@query(f"with {T.LINKED_SQL}, {_mentions_sql('linked')} select type, count(distinct lower(value)) as indicators from mentions group by type union all select 'identity', 1 union all select 'relationship', count(*) from (select distinct a.n, b.n as m from (select distinct id, {_NODE} as n from mentions) a join (select distinct id, {_NODE} as n from mentions) b on a.id = b.id and a.n < b.n)")
+def graph_stix_objects(spark, sf_dir):
+    m = extract.extract_indicators(T.linked_reports(spark, sf_dir))
+    s = sinks.graph_stix(graph.mention_nodes(m), graph.comention_edges(m))
+    kind = F.when(F.col("type") == "indicator", F.split(F.get_json_object("object", "$.name"), ": ")[0]).otherwise(F.col("type"))
+    return s.groupBy(kind.alias("type")).agg(F.countDistinct("id").alias("indicators"))
+
+
+# --- retrieval ---------------------------------------------------------------
+
+_QUERY = "the onst and thnd hethe zzyzx ertion"
+_TOKENS_SQL = f"tok as (select report_ord, id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9._-]*')) as term from reports), tf as (select report_ord, id, term, count(*)::double / sum(count(*)) over (partition by report_ord) as tf from tok group by 1, 2, 3), n as (select count(*)::double as n from reports), df as (select term, ln((1 + any_value(n)) / (1 + count(*))) + 1 as idf from tf, n group by term), w as (select report_ord, id, term, tf * idf as w from tf join df using (term)), norm as (select report_ord, sqrt(sum(w * w)) as norm from w group by 1)"
+_SEARCH_SQL = f"""with {T.REPORTS_SQL}, {_TOKENS_SQL},
+q0 as (select term, count(*)::double / sum(count(*)) over () as tf from (select unnest(regexp_extract_all('{_QUERY}', '[a-z0-9][a-z0-9._-]*')) as term) group by term),
+q as (select term, tf * coalesce(idf, ln(1 + n) + 1) as w from q0 left join df using (term), n), qn as (select sqrt(sum(w * w)) as qn from q),
+hits as (select report_ord, id, sum(w.w * q.w) / (any_value(norm) * any_value(qn)) as raw from w join q using (term) join norm using (report_ord), qn group by 1, 2)
+select id, report_ord, round(raw, 4) as score from hits where raw > 0 order by round(raw, 10) desc, report_ord limit 12"""
+
+
+@query(_SEARCH_SQL)
+def tfidf_search(spark, sf_dir):
+    return retrieve.search(T.reports(spark, sf_dir), _QUERY, 12)
+
+
+@query(f"""with s as (select item_id, generate_subscripts(parts, 1) - 1 as pos, unnest(parts) as sentence from (select item_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1\x01', 'g'), '\x01') as parts from benchmark)),
+o as (select item_id, pos, sentence, len(list_intersect(list_distinct(regexp_extract_all(lower(sentence), '[a-z0-9]+')), ['and', 'ertion', 'hethe', 'onst', 'the', 'thnd', 'zzyzx'])) as overlap from s)
+select item_id, pos::int as pos, sentence, overlap::int as overlap from o where overlap > 0 order by overlap desc, item_id, pos limit 10""")
+def extractive_summary(spark, sf_dir):
+    return retrieve.extractive_summary(T.table(spark, sf_dir, "benchmark").select("item_id", "text"), _QUERY, "item_id", 10)
+
+
+# --- entities ----------------------------------------------------------------
+
+_NORM = "trim(regexp_replace(regexp_replace(lower({}), '[^\\w\\s]', ' ', 'g'), '[\\s\\-_/.]+', ' ', 'g'))"
+_ENT_SQL = f"""{T.OBSERVATIONS_SQL},
+named as (select id, entity_type as etype, {_NORM.format('entity')} as name, emitter_id from obs where entity <> ''),
+nm as (select distinct etype, name, 'n:' || etype || ':' || name as k, list_distinct(string_split(name, ' ')) as t from named),
+pairs as (select a.k as x, b.k as y from nm a join nm b on a.etype = b.etype and a.name < b.name where contains(a.name, b.name) or contains(b.name, a.name) or len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))::double >= 0.6
+  union select distinct 'n:' || etype || ':' || name, 'i:' || emitter_id from named where emitter_id is not null),
+edges2 as (select x, y from pairs union select y, x from pairs), ks as (select k from nm union select y from pairs),
+reach as (with recursive r(k, o) as (select k, k from ks union select e.y, r.o from r join edges2 e on e.x = r.k) select o, min(k) as comp from r group by o),
+ec as (select n.id, min(n.id) over (partition by reach.comp) as root from named n join reach on reach.o = 'n:' || n.etype || ':' || n.name),
+eo as (select obs.*, root from obs join ec using (id))"""
+# a table rather than a view for what recursion gives: it is used several times
+_ENT_SQL = _ENT_SQL.replace("reach as (", "reach as materialized (")
+
+
+@query(f"with {_ENT_SQL} select id, root from ec")
+def entity_clusters(spark, sf_dir):
+    return _fusion(spark, sf_dir).clusters
+
+
+@query(f"""with {_ENT_SQL}, nn as (select root, entity, count(*) as n from eo group by 1, 2), best as (select root, arg_min(entity, (-n, -length(entity), entity)) as canonical, list_sort(list(entity)) as names from nn group by root)
+select root, any_value(canonical) as canonical, max(entity_type) filter (id = root) as etype, array_to_string(list_filter(any_value(names), x -> x <> any_value(canonical)), '|') as aliases,
+  md5(string_agg(id, '|' order by timestamp, id)) as observations, array_to_string(list_sort(list(distinct discipline)), '|') as disciplines, array_to_string(list_sort(list(distinct source)), '|') as sources,
+  arg_max(emitter_id, (timestamp, id)) filter (emitter_id is not null) as emitter_id, count(*) as n_obs
+from eo join best using (root) group by root""".replace("list_filter(any_value(names), x -> x <> any_value(canonical))", "list_filter(any_value(names), lambda x: x <> any_value(canonical))").replace("array_to_string(list_filter(any_value(names), lambda x: x <> any_value(canonical)), '|') as aliases", "any_value(array_to_string(list_filter(names, lambda x: x <> canonical), '|')) as aliases"))
+def resolved_entities(spark, sf_dir):
+    e = _fusion(spark, sf_dir).entities
+    return e.select("root", "canonical", "etype", _join("aliases"), F.md5(F.array_join("observation_ids", "|")).alias("observations"), _join("disciplines"), _join("sources"), F.col("identifiers")["emitter_id"].alias("emitter_id"), "n_obs")
+
+
+@query("""with e as (select c_mktsegment as etype, 'holder ' || (c_custkey % 400) as canonical, c_custkey::varchar as entity_id from customer)
+select 'name-type-ambiguity' as kind, canonical as name, count(*) as n_entities, array_to_string(list_sort(list(distinct etype)), '|') as etypes from e group by canonical having count(*) > 1 and count(distinct etype) > 1""")
+def deconflict_name_type(spark, sf_dir):
+    e = T.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("etype"), F.concat(F.lit("Holder-"), F.col("c_custkey") % 400).alias("canonical"), F.col("c_custkey").cast("string").alias("entity_id"))
+    return entities.name_type_conflicts(e).select("kind", "name", "n_entities", _join("etypes"))
+
+
+@query("select 'identifier-collision' as kind, 'imo' as key, (c_nationkey * 3 + c_custkey % 5)::varchar as value, count(*) as n_entities from customer group by 3 having count(*) > 1")
+def deconflict_identifier(spark, sf_dir):
+    e = T.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("root"), F.col("c_custkey").cast("string").alias("entity_id"), F.create_map(F.lit("imo"), (F.col("c_nationkey") * 3 + F.col("c_custkey") % 5).cast("string")).alias("identifiers"))
+    return entities.identifier_conflicts(e).select("kind", "key", "value", "n_entities")
+
+
+# --- corroboration, tracks, zones --------------------------------------------
+
+_WEIGHT = "case reliability when 'A' then 1.0 when 'B' then 0.8 when 'C' then 0.6 when 'D' then 0.4 when 'E' then 0.2 else 0.5 end * case credibility when '1' then 1.0 when '2' then 0.8 when '3' then 0.6 when '4' then 0.4 when '5' then 0.2 else 0.5 end"
+_NEAR = T.haversine_sql("a.", "b.")
+
+
+@query(f"""with {_ENT_SQL}, g60 as (select root, lat, lon, rn from (select *, row_number() over (partition by root order by timestamp, id) as rn from eo where lat is not null and lon is not null) where rn <= 60),
+co as (select a.root, avg(case when {_NEAR} <= 25 then 1.0 else 0.0 end) as co from g60 a join g60 b on a.root = b.root and a.rn < b.rn group by 1),
+s as (select eo.root, count(distinct discipline) as d, count(distinct source) as n, avg(round(sqrt({_WEIGHT}), 4)) as mc from eo group by 1),
+f as (select s.*, coalesce(co, 0) as co, round(0.45 * (1 - pow(0.6, d)) + 0.25 * (1 - pow(0.7, n)) + 0.2 * mc + 0.1 * coalesce(co, 0), 4) as score from s left join co using (root))
+select root, d as n_disciplines, n as n_sources, round(mc, 4) as mean_confidence, round(co, 4) as colocation, round(score, 3) as score, case when n <= 1 and d <= 1 then 'single-source' when score >= 0.72 then 'strong' when score >= 0.45 then 'moderate' else 'weak' end as band from f""")
+def corroboration(spark, sf_dir):
+    c = corroborate.corroboration(_fusion(spark, sf_dir).entity_obs)
+    return c.select("root", "n_disciplines", "n_sources", F.round("mean_confidence", 4).alias("mean_confidence"), F.round("colocation", 4).alias("colocation"), F.round("score", 3).alias("score"), "band")
+
+
+_HOURS = "epoch_us({}) - epoch_us({})"
+
+
+@query(f"""with {_ENT_SQL}, p as (select root, id, ts, lat, lon, lead(id) over w as id2, lead(ts) over w as ts2, lead(lat) over w as lat2, lead(lon) over w as lon2 from eo where lat is not null and lon is not null window w as (partition by root order by timestamp, id)),
+d as (select root, id, id2, {T.haversine_sql('a.', 'b.').replace('b.lat', 'lat2').replace('b.lon', 'lon2').replace('a.lat', 'lat').replace('a.lon', 'lon')} as km, abs(epoch_us(ts2) - epoch_us(ts)) / 3.6e9 as h from p where id2 is not null)
+select root, id as from_id, id2 as to_id, round(km, 3) as km, round(h, 4) as hours from d where (h >= 1e-6 and km / h > 1200) or (h < 1e-6 and km > 1)""")
+def spatial_contradictions(spark, sf_dir):
+    return _fusion(spark, sf_dir).spatial_contradictions.select("root", "from_id", "to_id", "km", "hours")
+
+
+@query(f"with {_ENT_SQL}, v as (select root, 'entity_type' as attribute, lower(entity_type) as v from eo union select root, 'status', lower(status) from eo where status is not null) select root, attribute, string_agg(v, '|' order by v) as found from v group by 1, 2 having count(*) > 1")
+def attribute_conflicts(spark, sf_dir):
+    return _fusion(spark, sf_dir).attribute_conflicts.select("root", "attribute", _join("found"))
+
+
+_LEGS_SQL = f"""pts as (select root, id, timestamp, ts, lat, lon, row_number() over (partition by root order by ts, id) - 1 as seq from eo where lat is not null and lon is not null),
+lg as (select a.root, b.seq, b.timestamp, {_NEAR} as raw, (epoch_us(b.ts) - epoch_us(a.ts)) / 3.6e9 as h from pts a join pts b on a.root = b.root and b.seq = a.seq + 1),
+legs as (select root, seq, timestamp, raw, h, case when h > 1e-6 then round(raw / h, 2) end as kmh from lg)"""
+
+
+@query(f"with {_ENT_SQL}, {_LEGS_SQL} select root, seq::int as seq, round(raw, 3) as km, round(h, 4) as hours, kmh from legs")
+def track_legs(spark, sf_dir):
+    return _fusion(spark, sf_dir).legs.select("root", "seq", "km", "hours", "kmh")
+
+
+@query(f"with {_ENT_SQL}, {_LEGS_SQL} select root, count(*) as point_count, min(timestamp) as first_seen, max(timestamp) as last_seen, round(any_value(t), 3) as total_km from pts join (select root, sum(raw) as t from legs group by 1) using (root) group by root having count(*) >= 2")
+def track_summary(spark, sf_dir):
+    return _fusion(spark, sf_dir).tracks
+
+
+@query()
+def dwell_areas(spark, sf_dir):
+    return _fusion(spark, sf_dir).dwell_areas
+
+
+@query(f"with {_ENT_SQL} select root, hour(ts)::int as hour, count(*) as n from eo group by 1, 2")
+def hour_histogram(spark, sf_dir):
+    return tracks.hour_histogram(_fusion(spark, sf_dir).entity_obs)
+
+
+@query(f"with {_ENT_SQL} select root, strftime(ts, '%a') as weekday, count(*) as n from eo group by 1, 2")
+def weekday_histogram(spark, sf_dir):
+    return tracks.weekday_histogram(_fusion(spark, sf_dir).entity_obs)
+
+
+@query(f"with {_ENT_SQL}, h as (select root, hour(ts)::int as hour, count(*) as n from eo group by 1, 2), r as (select *, row_number() over (partition by root order by n desc, hour) as rn from h) select root, string_agg(hour::varchar, '|' order by hour) as peak_hours from r where rn <= 4 group by root")
+def peak_hours(spark, sf_dir):
+    return tracks.peak_hours(tracks.hour_histogram(_fusion(spark, sf_dir).entity_obs)).select("root", F.array_join(F.transform("peak_hours", lambda h: h.cast("string")), "|").alias("peak_hours"))
+
+
+@query(f"""with {_ENT_SQL}, {_LEGS_SQL}, m as (select root, list_sort(list(kmh))[(floor(count(*) / 2) + 1)::bigint] as med from legs where kmh is not null group by 1 having count(*) >= 3),
+s as (select root, med, list_sort(list(abs(kmh - med)))[(floor(count(*) / 2) + 1)::bigint] as mad from legs join m using (root) where kmh is not null group by 1, 2),
+c as (select root, med, med + 2.5 * case when mad <= 1e-6 then greatest(0.5 * med, 1.0) else 1.4826 * mad end as ceiling from s)
+select root, seq::int as seq, kmh, round(med, 2) as median, round(ceiling, 2) as ceiling from legs join c using (root) where kmh > ceiling""")
+def speed_anomalies(spark, sf_dir):
+    return tracks.speed_anomalies(_fusion(spark, sf_dir).legs).select("root", "seq", "kmh", "median", "ceiling")
+
+
+@query(f"with {_ENT_SQL}, c as (select root, id, hour(ts)::int as hour, count(*) over (partition by root) as n_obs, count(*) over (partition by root, hour(ts)) as nh from eo) select root, id, hour, n_obs from c where nh = 1 and n_obs >= 5")
+def off_pattern_hours(spark, sf_dir):
+    return tracks.off_pattern_hours(_fusion(spark, sf_dir).entity_obs)
+
+
+@query()
+def off_pattern_locations(spark, sf_dir):
+    f = _fusion(spark, sf_dir)
+    return tracks.off_pattern_locations(f.points, f.dwell_areas)
+
+
+@query(f"""with {T.OBSERVATIONS_SQL}, a as (select lower(entity) as entity, string_agg(distinct discipline, '|' order by discipline) as was from obs where entity <> '' and timestamp < '2024-01-04' group by 1),
+b as (select lower(entity) as entity, string_agg(distinct discipline, '|' order by discipline) as now from obs where entity <> '' and timestamp >= '2024-01-28' group by 1)
+select entity, case when was is null then 'appeared' when now is null then 'disappeared' else 'coverage-changed' end as change, was, now from a full join b using (entity) where was is distinct from now""")
+def change_detection(spark, sf_dir):
+    o = T.observations(spark, sf_dir)
+    c = tracks.detect_change(o.where("timestamp < '2024-01-04'"), o.where("timestamp >= '2024-01-28'"))
+    return c.select("entity", "change", F.array_join("was", "|").alias("was"), F.array_join("now", "|").alias("now"))
+
+
+_ZONE_D = T.haversine_sql("o.", "z.")
+_ALERTS_SQL = f"""{T.ZONES_SQL}, al as (select z.name as zone, z.kind, case when entity = '' then '(unattributed)' else entity end as entity, o.id as observation_id, o.timestamp, {_ZONE_D} as d, z.radius_km as r,
+  case z.kind when 'keep-out' then 3 when 'restricted' then 2 else 1 end as s from obs o join zones z on len(z.watch) = 0 or list_contains(z.watch, o.entity_type) where o.lat is not null and o.lon is not null),
+alerts as (select *, case when d <= r then 'inside' else 'proximity' end as status, s + (d <= r)::int as severity from al where d <= 1.5 * r)"""
+
+
+@query(f"with {T.OBSERVATIONS_SQL}, {_ALERTS_SQL} select zone, kind, entity, observation_id, timestamp, status, round(d, 3) as distance_km, case when r > 0 then round(d / r, 3) end as range_of_radius, severity from alerts")
+def zone_alerts(spark, sf_dir):
+    return geofence.evaluate(T.observations(spark, sf_dir), T.zones(spark))
+
+
+@query(f"with {T.OBSERVATIONS_SQL}, {_ALERTS_SQL} select zone, lower(entity) as entity, count(*) as points, min(timestamp) as first, max(timestamp) as last from alerts where status = 'inside' group by 1, 2 having count(*) >= 2")
+def dwell_alerts(spark, sf_dir):
+    return geofence.dwell_alerts(geofence.evaluate(T.observations(spark, sf_dir), T.zones(spark)))
+
+
+# --- products ----------------------------------------------------------------
+
+
+@query(f"with {T.OBSERVATIONS_SQL} select timestamp, id, discipline, source, entity, text, lat, lon from obs")
+def fusion_timeline(spark, sf_dir):
+    return _fusion(spark, sf_dir).timeline
+
+
+@query()
+def dossiers(spark, sf_dir):
+    d = _fusion(spark, sf_dir).dossiers()
+    return d.select("root", "entity_id", "canonical", "etype", "n_obs", "score", "band", "point_count", F.to_json("anomalies").alias("anomalies"), F.to_json("zone_alerts").alias("zone_alerts"))
+
+
+@query()
+def fusion_counts(spark, sf_dir):
+    return _fusion(spark, sf_dir).counts
+
+
+@query(f"with {_ENT_SQL} select 'identity' as type, 1 as n union all select 'observed-data', count(*) from obs union all select 'x-entity', count(distinct root) from ec union all select 'relationship', count(*) from ec")
+def fusion_stix_objects(spark, sf_dir):
+    f = _fusion(spark, sf_dir)
+    return sinks.fusion_stix(f.observations, f.entities).groupBy("type").agg(F.countDistinct("id").alias("n"))
+
+
+@query(f"with {T.OBSERVATIONS_SQL} select id, discipline, source, timestamp, entity, entity_type, coalesce(lat::varchar, '') <> '' as has_lat, reliability, credibility, text from obs")
+def observation_csv(spark, sf_dir):
+    return sinks.observation_csv(T.observations(spark, sf_dir)).withColumn("has_lat", F.col("lat") != "").drop("lat", "lon")
+
+
+@query("select p_partkey as id, p_name as label, case when lower(p_name || ' ' || p_type) like '%st%' or regexp_matches(lower(p_name || ' ' || p_type), 'suspect|hostile-report|illicit|smuggl') then 'unknown' else 'unknown' end as affiliation from part")
+def symbol_agnostic(spark, sf_dir):
+    p = T.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("canonical"), F.col("p_type").alias("etype"), F.array("p_type").alias("aliases"), F.array(F.lit("OSINT")).alias("disciplines"), F.expr("cast(map() as map<string,string>)").alias("identifiers"))
+    return sinks.symbol_agnostic(p).select("id", "label", "affiliation")
+
+
+@query("""with p as (select s_suppkey as id, (s_nationkey * 3 % 50)::double as lat, (s_nationkey * 7 % 90)::double as lon from supplier), e as (select min(lat) as a, max(lat) as b, min(lon) as c, max(lon) as d from p)
+select id, round(28 + (lon - c) / (d - c) * 624, 1) as x, round(28 + (b - lat) / (b - a) * 304, 1) as y from p, e""")
+def map_projection(spark, sf_dir):
+    p = T.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") * 3 % 50).cast("double").alias("lat"), (F.col("s_nationkey") * 7 % 90).cast("double").alias("lon"))
+    return sinks.project(p).select("id", "x", "y")
+
+
+# --- small targets, metrics --------------------------------------------------
+
+
+@query()
+def small_targets(spark, sf_dir):
+    """Embeddings' values as 16 x 4 grids with one bright pixel each."""
+    e = T.table(spark, sf_dir, "embeddings")
+    bright = F.transform("embedding", lambda x, i: x.cast("double") * 0.1 + F.when(i == F.pmod(F.col("vec_id"), F.size("embedding")), 40.0).otherwise(0.0))
+    grid = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.slice(F.col("v"), r * 8 + 1, F.lit(8)))
+    return smalltarget.detect_targets(e.select(F.col("vec_id").alias("frame_id"), bright.alias("v")).select("frame_id", grid.alias("grid")))
+
+
+@query("""with p as (select doc_id from documents where n_chars > 1500), t as (select doc_id from labels where quality = 1), c as (select count(*) filter (p.doc_id is not null and t.doc_id is not null) as tp, count(*) filter (t.doc_id is null) as fp, count(*) filter (p.doc_id is null) as fn from p full join t on p.doc_id = t.doc_id)
+select tp, fp, fn, round(tp / (tp + fp)::double, 6) as "precision", round(tp / (tp + fn)::double, 6) as recall, round(2 * tp / (2 * tp + fp + fn)::double, 6) as f1 from c""")
+def prf(spark, sf_dir):
+    m = metrics.prf(T.table(spark, sf_dir, "documents").where("n_chars > 1500"), T.table(spark, sf_dir, "labels").where("quality = 1"), "doc_id")
+    return m.select("tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("""with r as (select o_custkey as query, o_orderkey as id, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rank from orders), rel as (select o_custkey as query, o_orderkey as id from orders where o_orderpriority = '1-URGENT'),
+n as (select query, count(*) as n from rel group by 1), h as (select r.* from r join rel using (query, id))
+select n.query, coalesce(max(case when rank = 1 then 1.0 end), 0.0) as precision_at_1, round(count(*) filter (rank <= 3) / any_value(n)::double, 6) as recall_at_k, round(coalesce(1.0 / min(rank), 0), 6) as mrr from n left join h using (query) group by n.query""")
+def retrieval_metrics(spark, sf_dir):
+    o = T.table(spark, sf_dir, "orders")
+    ranked = o.select(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("id"), F.expr("row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey)").alias("rank"))
+    relevant = o.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("id"))
+    return metrics.retrieval_metrics(ranked, relevant).select("query", "precision_at_1", F.round("recall_at_k", 6).alias("recall_at_k"), F.round("mrr", 6).alias("mrr"))
