@@ -51,14 +51,14 @@ class _Range:
 def _summary(groups: DataFrame, spans: list[tuple[int, int]], ranges: int) -> list[_Range]:
     """Sums over equal hash ranges of each span [low, high)."""
     each = max(2, ranges // len(spans))
-    cell = F.lit(None).cast("decimal(38,0)")
+    cell = F.lit(None).cast("long")
     for k, (low, high) in enumerate(spans):
         width = -(-(high - low) // each)
         inside = (F.col("h") >= F.lit(low)) & (F.col("h") <= F.lit(high - 1))
-        offset = F.col("h").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")
-        cell = F.when(inside, F.lit(k * each) + F.floor(offset / F.lit(width).cast("decimal(20,0)")).cast("long")).otherwise(cell)
+        part = F.expr(f"(cast(h as decimal(20,0)) - cast('{low}' as decimal(20,0))) div cast('{width}' as decimal(20,0))")
+        cell = F.when(inside, F.lit(k * each) + part).otherwise(cell)
     rows = (
-        groups.withColumn("cell", cell.cast("long"))
+        groups.withColumn("cell", cell)
         .where("cell is not null")
         .groupBy("cell")
         .agg(F.min("h").alias("first"), F.max("h").alias("last"), F.sum("size").alias("size"))
