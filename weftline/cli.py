@@ -52,7 +52,7 @@ def _answers(spark: SparkSession, args) -> Answers:
 def _fusion(spark: SparkSession, path: str | None) -> Fusion:
     if path:
         return run_scenario(spark, path)
-    sources = {d: spark.read.json(spark.sparkContext.parallelize([json.dumps(r) for r in rows])) for d, rows in DEMO_SCENARIO["sources"].items()}
+    sources = {d: spark.createDataFrame(rows) for d, rows in DEMO_SCENARIO["sources"].items()}
     zones = zones_frame(spark.createDataFrame(DEMO_SCENARIO["zones"]))
     return run_scenario(spark, (DEMO_SCENARIO["name"], {d: r.drop("content") for d, r in sources.items()}, zones))
 
