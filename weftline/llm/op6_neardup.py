@@ -10,9 +10,10 @@ coordinate with the probability of their weighted Jaccard similarity.
 
 Banding finds candidates; Jaccard over the shingle sets verifies them.  In a
 bucket every member is compared with the bucket's most central member.  Members
-that stay in different classes are compared across classes, unless their
-distances to it rule a link out (Jaccard distance is a metric): no link in a
-bucket is lost, and members of one class don't make all their pairs.
+that stay in different classes are compared across classes, inside the join and
+by what sets each apart from the central one; where their distances to it rule a
+link out (Jaccard distance is a metric) they are not.  So no link in a bucket is
+lost, and only links leave the join.
 """
 
 from __future__ import annotations
@@ -147,21 +148,31 @@ def _members(nodes: DataFrame) -> DataFrame:
 
 
 def _across(members: DataFrame, tested: DataFrame, comp: DataFrame, sets: DataFrame, min_similarity: float) -> DataFrame:
-    """a, b: all pairs of a bucket and of different classes that may yet be
-    links.  far is the distance to the bucket's first: if two are linked, theirs
-    differ by no more than the pair's own distance.  And a pair's smaller set is
-    no less than min_similarity of the larger."""
+    """a, b: the links between members of a bucket that are in different classes.
+
+    A member is its bucket's first set without the shingles `gone` and with the
+    shingles `new`, so what two members share follows from what they share of
+    these short lists.  The join itself compares them, and only links leave it.
+    Most pairs fall to what is known before: if two are linked, their distances
+    to the first differ by no more than their own distance, and the smaller set
+    is no less than min_similarity of the larger.
+    """
     both = members.join(comp, "node").join(comp.select(F.col("node").alias("lead"), F.col("comp").alias("lead_comp")), "lead")
     both = stage(both, "dart-within")
-    apart = both.where("comp <> lead_comp").select("band").distinct()
-    far = tested.select(F.col("a").alias("lead"), F.col("b").alias("node"), (1 - F.col("similarity")).alias("far"))
-    count = sets.select("node", F.size("shingles").alias("n"))
-    rest = both.join(apart, "band").join(far, ["lead", "node"]).join(count, "node").select("band", "node", "comp", "n", "far")
-    rest = stage(rest, "dart-rest")
+    apart = both.where("comp <> lead_comp").select("band", "lead").distinct()
+    first = sets.select(F.col("node").alias("lead"), F.col("shingles").alias("first"))
+    own = sets.select("node", F.col("shingles").alias("own"))
+    changes = tested.select(F.col("a").alias("lead"), F.col("b").alias("node"), (1 - F.col("similarity")).alias("far"))
+    changes = changes.join(apart.select("lead").distinct(), "lead").join(first, "lead").join(own, "node")
+    changes = changes.select("lead", "node", "far", F.size("first").alias("base"), F.size("own").alias("n"), F.array_except("own", "first").alias("new"), F.array_except("first", "own").alias("gone"))
+    rest = stage(both.join(apart.select("band"), "band").join(stage(changes, "dart-changes"), ["lead", "node"]).drop("lead", "lead_comp", "priority"), "dart-rest")
     one, two = rest.alias("one"), rest.alias("two")
     on = (F.col("one.band") == F.col("two.band")) & (F.col("one.node") < F.col("two.node")) & (F.col("one.comp") != F.col("two.comp"))
     near = (F.abs(F.col("one.far") - F.col("two.far")) <= 1 - min_similarity + 1e-9) & (F.least("one.n", "two.n") >= min_similarity * F.greatest("one.n", "two.n") - 1e-9)
-    return one.join(two, on & near).select(F.col("one.node").alias("a"), F.col("two.node").alias("b")).distinct()
+    same = lambda c: F.size(F.array_intersect(f"one.{c}", f"two.{c}"))
+    shared = F.col("one.base") - F.size("one.gone") - F.size("two.gone") + same("gone") + same("new")
+    linked = shared * (1 + min_similarity) >= min_similarity * (F.col("one.n") + F.col("two.n")) - 1e-9
+    return one.join(two, on & near & linked).select(F.col("one.node").alias("a"), F.col("two.node").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -204,8 +215,7 @@ def near_duplicates(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) ->
     tested = stage(_verified(pairs, sets), "dart-tested")
     links = tested.where(linked).select("a", "b")
     comp = stage(components(nodes, links), "dart-classes")
-    cross = stage(_across(members, tested, comp, sets, min_similarity), "dart-cross")
-    late = stage(_verified(cross, sets), "dart-late").where(linked).select("a", "b")
+    late = stage(_across(members, tested, comp, sets, min_similarity), "dart-late")
     if late.limit(1).count():
         comp = stage(components(nodes, links.union(late)), "dart-classes")
     classed = nodes.join(comp, "node")
