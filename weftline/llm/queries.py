@@ -74,4 +74,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding_query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Where SQL can say it.  The others rest on 64-bit hashes, trained weights or
+#: verified candidate search, and are held against brute force in tests/llm.
+ORACLE_SQL: dict[str, str] = {
+    "op7_warc": r"""
+with p as (select page_id, coalesce(html, '') as html, regexp_replace(regexp_replace(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://(?:www\.)?', ''), '#.*$', '') as bare from pages),
+d as (select *, strlen(html)::bigint as payload_bytes, sha256(html) as payload_digest from p),
+f as (select payload_digest, min(page_id) as first from d where payload_bytes >= 100 group by 1 having count(*) > 1)
+select page_id, payload_bytes, payload_digest, case when page_id > first then 'revisit' else 'response' end as record_type, case when page_id > first then first end as refers_to,
+  array_to_string(list_reverse(string_split(regexp_extract(bare, '^[^/?:]*'), '.')), ',') || ')' || regexp_replace(bare, '^[^/?:]*(?::\d+)?', '') as url_key,
+  strftime(make_timestamp((1704067200 + page_id % 31536000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') as captured
+from d left join f using (payload_digest)""",
+}
