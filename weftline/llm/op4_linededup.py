@@ -25,35 +25,43 @@ from .common import WordHashes, mix64, only, powers, stage
 
 MIN_WORDS = 8
 _WHOLE = -1
-_P = np.uint64(0x9E3779B97F4A7C15)
-
-
-class _Line:
-    """Order-sensitive hashes of any run of a line's words, in O(1) each."""
-
-    def __init__(self, line: str, cache: WordHashes):
-        words = line.encode("utf-8", "surrogatepass").split()
-        self.n = len(words)
-        w = np.fromiter(map(cache.__getitem__, words), np.uint64, self.n)
-        self.power, self.inverse = powers(self.n + 1), powers(self.n + 1, inverse=True)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * self.power[: self.n], dtype=np.uint64)])
-
-    def run(self, start: int, end: int) -> np.ndarray:
-        return (self.sums[end : end + 1] - self.sums[start : start + 1]) * self.inverse[start]
-
-    def whole(self) -> np.ndarray:
-        return mix64(self.sums[-1:] + np.uint64(self.n))
-
-    def without_each(self) -> np.ndarray:
-        left, right = self.sums[:-1], self.sums[-1] - self.sums[1:]
-        return mix64(left + right * self.inverse[1] + np.uint64(self.n - 1))
+#: Characters of the lines whose words are hashed together.
+CHUNK_CHARS = 1 << 20
+
+
+class _Lines:
+    """Order-sensitive hashes of any runs of words of many lines, in O(1) each:
+    from running sums over the words of all of them."""
+
+    def __init__(self, lines: list[str], cache: WordHashes):
+        words = [x.encode("utf-8", "surrogatepass").split() for x in lines]
+        self.n = np.fromiter(map(len, words), np.int64, len(words))
+        self.start = np.cumsum(self.n) - self.n
+        total = int(self.n.sum())
+        w = np.fromiter((cache[x] for line in words for x in line), np.uint64, total)
+        self.inverse = powers(total + 2, inverse=True)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * powers(total), dtype=np.uint64)])
+
+    def run(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.sums[end] - self.sums[start]) * self.inverse[start]
+
+    def variants(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Line, place and hash: each line whole, and without each of its words."""
+        line = np.repeat(np.arange(len(self.n)), self.n + 1)
+        place = np.arange(len(line)) - np.repeat(self.start + np.arange(len(self.n)), self.n + 1) + _WHOLE
+        first, n = self.start[line], self.n[line]
+        whole, cut = self.run(first, first + n), np.maximum(place, 0)
+        left, upto = self.run(first, first + cut), self.run(first, first + cut + 1)
+        without = left + (whole - upto) * self.inverse[1] + (n - 1).astype(np.uint64)
+        return line, place, mix64(np.where(place == _WHOLE, whole + n.astype(np.uint64), without))
 
     def halves(self) -> np.ndarray:
-        """Both halves, and each shorter by a word, so that lines of n and n + 1
-        words have one in common."""
-        h, n = self.n // 2, self.n
-        runs = np.concatenate([self.run(0, h), self.run(0, h - 1), self.run(h, n), self.run(h + 1, n)])
-        return mix64(mix64(runs) ^ np.array([2 * h, 2 * h - 2, 2 * (n - h) + 1, 2 * (n - h) - 1], np.uint64))
+        """By line, both halves, and each shorter by a word, so that lines of n
+        and n + 1 words have one in common."""
+        a, n, h = self.start, self.n, self.n // 2
+        runs = np.stack([self.run(a, a + h), self.run(a, a + h - 1), self.run(a + h, a + n), self.run(a + h + 1, a + n)], axis=1)
+        sides = np.stack([2 * h, 2 * h - 2, 2 * (n - h) + 1, 2 * (n - h) - 1], axis=1).astype(np.uint64)
+        return mix64(mix64(runs) ^ sides)
 
 
 def within_one_edit(a: list, b: list) -> bool:
@@ -67,22 +75,25 @@ def within_one_edit(a: list, b: list) -> bool:
     return short[i:] == long_[i + 1 :] if len(short) < len(long_) else short[i + 1 :] == long_[i + 1 :]
 
 
+def _chunks(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    for _, part in rows.groupby(rows["line"].str.len().cumsum() // CHUNK_CHARS):
+        yield part
+
+
 def _halves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     cache = WordHashes()
     for rows in batches:
-        keys = [_Line(x, cache).halves() for x in rows["line"]]
-        yield pd.DataFrame({"half": np.concatenate([*keys, np.empty(0, np.uint64)]).view(np.int64), "line_id": np.repeat(rows["line_id"].to_numpy(np.int64), 4)})
+        for part in _chunks(rows):
+            keys = _Lines(part["line"].tolist(), cache).halves()
+            yield pd.DataFrame({"half": keys.ravel().view(np.int64), "line_id": np.repeat(part["line_id"].to_numpy(np.int64), 4)})
 
 
 def _variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     cache = WordHashes()
     for rows in batches:
-        for at in range(0, len(rows), 2000):
-            part = rows.iloc[at : at + 2000]
-            found = [_Line(x, cache) for x in part["line"]]
-            v = np.concatenate([x for f in found for x in (f.whole(), f.without_each())])
-            place = np.concatenate([np.arange(_WHOLE, f.n, dtype=np.int32) for f in found])
-            yield pd.DataFrame({"variant": v.view(np.int64), "place": place, "line_id": np.repeat(part["line_id"].to_numpy(np.int64), [f.n + 1 for f in found])})
+        for part in _chunks(rows):
+            line, place, v = _Lines(part["line"].tolist(), cache).variants()
+            yield pd.DataFrame({"variant": v.view(np.int64), "place": place.astype(np.int32), "line_id": part["line_id"].to_numpy(np.int64)[line]})
 
 
 def classify_lines(docs: DataFrame) -> DataFrame:
