@@ -436,6 +436,23 @@ def test_leaks_of_whole_items_against_search(spark):
     assert got == {(d, i) for d, t in rows for i, x in items if x in t}
 
 
+def test_leaks_with_a_repeated_number_changed_once(spark):
+    start = "Tom picks {} apples from the old tree behind the barn and carries them slowly to the kitchen, "
+    text = start + "then Sue adds {} pears to the basket on the table before they count all of the fruit together with Tom"
+    items = [(1, text.format(3, 3)), (2, text.format(12, 7).replace("apples", "plums").replace("pears", "figs"))]
+    changed = [(1, items[0][1].replace("3 apples", "5 apples")), (2, items[1][1].replace("12", "7")), (3, items[0][1].replace("Tom", "Ann", 1)), (4, items[0][1].replace("Sue", "Tom"))]
+    got = op9_decontamination.find_leaks(docs(spark, changed), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(1, 1), (2, 2), (3, 1), (4, 1)} <= {(g["doc_id"], g["item_id"]) for g in got}
+
+
+def test_windows_that_contradict_the_names():
+    alice, bob, carol, dora, three, five = 3, 5, 7, 9, 2, 4
+    f = op9_decontamination.consistent_windows
+    assert f([(0, (alice,), (dora,)), (1, (alice, bob), (dora, dora)), (2, (bob,), (dora,)), (3, (three,), (five,)), (4, (), ())]) == ([3, 4], 1)
+    assert f([(0, (alice,), (carol,)), (1, (alice,), (carol,)), (2, (alice,), (dora,)), (3, (bob,), (bob,))]) == ([0, 1, 3], 1)
+    assert f([(0, (three, three), (five, three)), (1, (alice,), (bob,)), (2, (bob,), (bob,))]) == ([0, 2], 1)
+
+
 # --- 10 -----------------------------------------------------------------------
 
 

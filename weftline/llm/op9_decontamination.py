@@ -4,9 +4,11 @@ Words become templates: numbers, units, quantities and names turn into typed
 placeholders, other words into their lower-case core; the words behind the
 placeholders are the slots.  Windows of templates are hash-joined between
 documents and benchmark items.  Matches of one document and item on one
-diagonal are aligned, and there the slots must map one to one: a question with
-other numbers or names matches, a text in which one name stands for two doesn't.
-A document is contaminated by an item if consistent windows cover enough of it.
+diagonal are aligned.  Numbers and units are values, free to change or coincide
+at each place; names must map one to one, so windows that contradict the
+alignment's mapping of names are dropped, and only those: a question with other
+numbers or names matches, a text in which one name stands for two doesn't.
+A document is contaminated by an item if the other windows cover enough of it.
 
 The windows of documents pass a bitmap of the items' window hashes first.  It
 has a fixed size, so it is sent to every task whatever the benchmark; what it
@@ -16,6 +18,7 @@ lets through is joined exactly.
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,7 +84,7 @@ class Templates(dict):
 
 def templates(text: str | None, cache: Templates) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each word that isn't mere punctuation: template hash, hash of the
-    word itself, and whether it is a slot."""
+    word itself (odd for a name), and whether it is a slot."""
     words = text.encode("utf-8", "surrogatepass").split() if text else []
     packed = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
     packed = packed[(packed & np.uint64(7)) != SKIP]
@@ -91,7 +94,7 @@ def templates(text: str | None, cache: Templates) -> tuple[np.ndarray, np.ndarra
     kind[(kind == TITLE) & opens] = PLAIN  # any word that opens a sentence may have a capital
     core = packed >> np.uint64(4)
     slot = kind != PLAIN
-    return np.where(slot, mix64(kind.astype(np.uint64)), core), core, slot
+    return np.where(slot, mix64(kind.astype(np.uint64)), core), core << np.uint64(1) | (kind == NAME), slot
 
 
 def windows(text: str | None, widths: list[int], cache: Templates) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -136,6 +139,34 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return items.mapInPandas(cut, "item_id long, width int, n_windows long, pos long, h long, slots array<long>")
 
 
+def consistent_windows(found: list[tuple[int, tuple[int, ...], tuple[int, ...]]]) -> tuple[list[int], int]:
+    """Of the windows of an alignment (position, slots of the item, slots of the
+    document), the positions of those that don't contradict its mapping of
+    names, and how many different slots are changed in them.
+
+    A name of the item maps to its most frequent partner, itself if in doubt,
+    and to none if that is the partner of another name too.  A name that stays
+    as it is contradicts nothing.
+    """
+    partners: dict[int, Counter] = defaultdict(Counter)
+    for _, a, b in found:
+        for x, y in zip(a, b):
+            if x & 1:
+                partners[x][y] += 1
+    maps = {x: max(c, key=lambda y: (c[y], y == x, y)) for x, c in partners.items()}
+    claims = Counter(maps.values())
+    free = {(x, y) for x, y in maps.items() if claims[y] == 1}
+    kept = [(p, a, b) for p, a, b in found if all(x == y or not x & 1 or (x, y) in free for x, y in zip(a, b))]
+    return [p for p, _, _ in kept], len({(x, y) for _, a, b in kept for x, y in zip(a, b) if x != y})
+
+
+def _consistent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        found = [consistent_windows([(w["pos"], tuple(map(int, w["a"])), tuple(map(int, w["b"]))) for w in each]) for each in rows["windows"]]
+        out = rows[["doc_id", "text_key", "item_id", "n_windows"]].astype({"doc_id": "Int64"})
+        yield out.assign(changed=[n for _, n in found], at=[at for at, _ in found])
+
+
 def _bitmap(hashes: DataFrame) -> np.ndarray:
     """Bits set at the top BITMAP_BITS bits of the hashes; put together by
     bytes in Spark, 2^BITMAP_BITS / 8 of them at most."""
@@ -180,13 +211,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_
     found = stage(found.distinct(), "leak-windows")
     who = ["doc_id", "text_key", "item_id"]
     both = found.join(items, "h").withColumn("shift", F.col("doc_pos") - F.col("pos"))
-    pairs = F.flatten(F.collect_list(F.arrays_zip(F.col("slots").alias("a"), F.col("doc_slots").alias("b"))))
     # a diagonal has as many windows as the item at most
-    aligned = both.groupBy(*who, "shift").agg(F.collect_set("pos").alias("at"), F.first("n_windows").alias("n_windows"), F.array_distinct(pairs).alias("pairs"))
-    side = lambda f: F.size(F.array_distinct(F.transform("pairs", lambda p: p[f])))
-    consistent = aligned.where((side("a") == F.size("pairs")) & (side("b") == F.size("pairs")))
-    changed = F.size(F.filter("pairs", lambda p: p["a"] != p["b"]))
-    spots = consistent.select(*who, "n_windows", changed.alias("changed"), F.explode("at").alias("pos"))
+    window = F.struct("pos", F.col("slots").alias("a"), F.col("doc_slots").alias("b"))
+    aligned = both.groupBy(*who, "shift").agg(F.first("n_windows").alias("n_windows"), F.collect_list(window).alias("windows"))
+    consistent = aligned.drop("shift").mapInPandas(_consistent, "doc_id long, text_key long, item_id long, n_windows long, changed long, at array<long>")
+    spots = consistent.select(*who, "n_windows", "changed", F.explode("at").alias("pos"))
     spots = spots.groupBy(*who, "pos").agg(F.max("n_windows").alias("n_windows"), F.min("changed").alias("changed"))
     total = spots.groupBy(*who).agg(F.count("*").alias("matched"), F.max("n_windows").alias("n_windows"), F.min("changed").cast("long").alias("changed_slots"))
     return total.withColumn("coverage", F.col("matched") / F.col("n_windows")).where(F.col("coverage") >= min_coverage)
