@@ -445,6 +445,18 @@ def test_leaks_with_a_repeated_number_changed_once(spark):
     assert {(1, 1), (2, 2), (3, 1), (4, 1)} <= {(g["doc_id"], g["item_id"]) for g in got}
 
 
+def test_verbatim_leaks(spark):
+    sums = "3 + 4 = 7, 12 - 5 = 7, 6 * 7 = 42, 81 / 9 = 9, 15 + 16 = 31"
+    long = prose(100, 500).split()
+    items = [(1, sums), (2, "What is 2 plus 2?"), (3, " ".join(long)), (4, ITEM), (5, "Anna Bodil Carl Dag Erik Frida Greta Hans Ida Jens")]
+    copies = [sums, "what is 2 plus 2", " ".join(long[20:60]), ITEM.upper(), items[4][1].lower()]
+    rows = [(i + 1, f"{prose(30, 510 + i)} {x} {prose(30, 520 + i)}") for i, x in enumerate(copies)]
+    rows += [(6, " ".join(long[20:30])), (7, "is 2 plus 2 four")]
+    got = op9_decontamination.find_leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(g["doc_id"], g["item_id"]) for g in got} == {(i, i) for i in range(1, 6)}
+    assert next(g for g in got if g["doc_id"] == 3)["run"] == 40
+
+
 def test_windows_that_contradict_the_names():
     alice, bob, carol, dora, three, five = 3, 5, 7, 9, 2, 4
     f = op9_decontamination.consistent_windows

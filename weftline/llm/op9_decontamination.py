@@ -8,7 +8,10 @@ diagonal are aligned.  Numbers and units are values, free to change or coincide
 at each place; names must map one to one, so windows that contradict the
 alignment's mapping of names are dropped, and only those: a question with other
 numbers or names matches, a text in which one name stands for two doesn't.
-A document is contaminated by an item if the other windows cover enough of it.
+Beside this, windows of the case-folded words themselves are joined: there all
+windows count, whatever their slots, and a short item is one window.
+A document is contaminated by an item if windows of either kind cover enough of
+it, or if it holds a long verbatim run of it.
 
 The windows of documents pass a bitmap of the items' window hashes first.  It
 has a fixed size, so it is sent to every task whatever the benchmark; what it
@@ -20,6 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -29,11 +33,15 @@ from pyspark.sql import functions as F
 from .common import mix64, only, stage, window_hashes
 
 WINDOW = 8
-#: Items shorter than this many words are not sought.
-MIN_ITEM_WORDS = 5
+#: Items shorter than this many words are sought verbatim only.
+MIN_TEMPLATE_WORDS = 5
 #: Share of an item's windows that must be found.
 MIN_COVERAGE = 0.4
+#: So many words of an item in a row are a leak, whatever share they are.
+VERBATIM_RUN = 20
 BITMAP_BITS = 24
+#: Sets the hashes of windows of words apart from those of templates.
+EXACT = 1 << 32
 
 PLAIN, TITLE, NUMBER, UNIT, QUANTITY, SKIP = range(6)
 NAME = TITLE
@@ -63,7 +71,7 @@ class Templates(dict):
             self.clear()
         raw = word.decode("utf-8", "surrogatepass")
         core = raw.strip(_PUNCTUATION)
-        low = core.lower()
+        low = core.casefold()
         if not core:
             kind = SKIP
         elif low in _WORD_NUMBERS or (core[0].isdigit() and _NUMBER.match(core)):
@@ -97,30 +105,50 @@ def templates(text: str | None, cache: Templates) -> tuple[np.ndarray, np.ndarra
     return np.where(slot, mix64(kind.astype(np.uint64)), core), core << np.uint64(1) | (kind == NAME), slot
 
 
-def windows(text: str | None, widths: list[int], cache: Templates) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each width: positions and hashes of the windows of which at least
-    half is no slot, and the words and slots of the text."""
+class Windows(NamedTuple):
+    """The windows of one width of a text: position, hash, whether it is one of
+    the words themselves and not of templates, whether at least half of it is no
+    slot; and the words and slots of the text."""
+
+    width: int
+    pos: np.ndarray
+    h: np.ndarray
+    exact: np.ndarray
+    plain: np.ndarray
+    core: np.ndarray
+    slot: np.ndarray
+
+
+def windows(text: str | None, widths: list[int], cache: Templates) -> list[Windows]:
+    """For each width the windows of the words, and the windows of templates of
+    which at least half is no slot (widths below MIN_TEMPLATE_WORDS have none)."""
     template, core, slot = templates(text, cache)
     plain = np.concatenate([[0], np.cumsum(~slot)])
     out = []
     for width in widths:
-        h = window_hashes(template, width)
-        at = np.flatnonzero(2 * (plain[width:] - plain[:-width]) >= width) if len(h) else np.empty(0, np.int64)
-        out.append((width, at, mix64(h[at] + np.uint64(width)), core, slot))
+        exact = window_hashes(core >> np.uint64(1), width)
+        n = len(exact)
+        half = 2 * (plain[width:] - plain[:-width]) >= width if n else np.zeros(0, bool)
+        half &= width >= MIN_TEMPLATE_WORDS
+        at = np.flatnonzero(half)
+        h = np.concatenate([mix64(exact + np.uint64(EXACT + width)), mix64(window_hashes(template, width)[at] + np.uint64(width))])
+        kind = np.arange(n + len(at)) < n
+        out.append(Windows(width, np.concatenate([np.arange(n), at]), h, kind, np.concatenate([half, half[at]]), core, slot))
     return out
 
 
-def _rows(found, pick) -> Iterator[tuple[int, int, list[int]]]:
-    for width, at, h, core, slot in found:
-        for i in np.flatnonzero(pick(h)):
-            k = at[i]
-            inside = slot[k : k + width]
-            yield int(k), int(h[i].astype(np.int64)), core[k : k + width][inside].astype(np.int64)
+def _rows(found: list[Windows], pick) -> Iterator[tuple[int, int, bool, bool, list[int]]]:
+    """Position, hash, exact, plain, slots of the windows whose hashes `pick` takes."""
+    for w in found:
+        for i in np.flatnonzero(pick(w.h)):
+            k = w.pos[i]
+            slots = w.core[k : k + w.width][w.slot[k : k + w.width]] if not w.exact[i] else w.core[:0]
+            yield int(k), int(w.h[i].astype(np.int64)), bool(w.exact[i]), bool(w.plain[i]), slots.astype(np.int64)
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, width, n_windows, pos, h, slots.  An item shorter than WINDOW is
-    one window; one shorter than MIN_ITEM_WORDS has none."""
+    """item_id, width, n_windows, n_plain, pos, h, exact, plain, slots.  An item
+    shorter than WINDOW is one window."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = Templates()
@@ -129,14 +157,15 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
             for item, text in zip(rows["item_id"], rows["text"]):
                 n = len(templates(text, cache)[0])
                 width = min(WINDOW, n)
-                if width < MIN_ITEM_WORDS:
+                if not width:
                     continue
                 mine = list(_rows(windows(text, [width], cache), lambda h: np.ones(len(h), bool)))
-                out += [(item, width, len(mine), *r) for r in mine]
-            yield pd.DataFrame(out, columns=["item_id", "width", "n_windows", "pos", "h", "slots"])
+                n_windows = n - width + 1
+                out += [(item, width, n_windows, len(mine) - n_windows, *r) for r in mine]
+            yield pd.DataFrame(out, columns=["item_id", "width", "n_windows", "n_plain", "pos", "h", "exact", "plain", "slots"])
 
     items = only(benchmark, item_id="long", text="string").where("item_id is not null").distinct()
-    return items.mapInPandas(cut, "item_id long, width int, n_windows long, pos long, h long, slots array<long>")
+    return items.mapInPandas(cut, "item_id long, width int, n_windows long, n_plain long, pos long, h long, exact boolean, plain boolean, slots array<long>")
 
 
 def consistent_windows(found: list[tuple[int, tuple[int, ...], tuple[int, ...]]]) -> tuple[list[int], int]:
@@ -160,11 +189,28 @@ def consistent_windows(found: list[tuple[int, tuple[int, ...], tuple[int, ...]]]
     return [p for p, _, _ in kept], len({(x, y) for _, a, b in kept for x, y in zip(a, b) if x != y})
 
 
-def _consistent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def longest_run(at: set[int], width: int) -> int:
+    """Words of the longest run of consecutive windows."""
+    best = run = 0
+    for p in sorted(at):
+        run = run + 1 if p - 1 in at else 1
+        best = max(best, run)
+    return best + width - 1 if at else 0
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """By alignment: the windows that count, those of the item's plain ones
+    among them, the slots changed, and the longest verbatim run."""
     for rows in batches:
-        found = [consistent_windows([(w["pos"], tuple(map(int, w["a"])), tuple(map(int, w["b"]))) for w in each]) for each in rows["windows"]]
-        out = rows[["doc_id", "text_key", "item_id", "n_windows"]].astype({"doc_id": "Int64"})
-        yield out.assign(changed=[n for _, n in found], at=[at for at, _ in found])
+        out = []
+        for width, each in zip(rows["width"], rows["windows"]):
+            kept, changed = consistent_windows([(w["pos"], tuple(map(int, w["a"])), tuple(map(int, w["b"]))) for w in each if not w["exact"]])
+            exact = {w["pos"] for w in each if w["exact"]}
+            at = sorted(exact.union(kept))
+            plain = {w["pos"] for w in each if w["plain"]}
+            out.append(([{"pos": p, "plain": p in plain} for p in at], changed, longest_run(exact, width)))
+        own = rows[["doc_id", "text_key", "item_id", "n_windows", "n_plain"]].astype({"doc_id": "Int64"})
+        yield own.assign(at=[r[0] for r in out], changed=[r[1] for r in out], run=[r[2] for r in out])
 
 
 def _bitmap(hashes: DataFrame) -> np.ndarray:
@@ -178,10 +224,13 @@ def _bitmap(hashes: DataFrame) -> np.ndarray:
     return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """doc_id, text_key, item_id, matched, n_windows, coverage, changed_slots:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE, verbatim_run: int = VERBATIM_RUN) -> DataFrame:
+    """doc_id, text_key, item_id, matched, n_windows, coverage, changed_slots, run:
     a row for each document and item that contaminates it.
 
+    matched of n_windows is the greater of two shares: of all windows of the
+    item, and of those of which at least half is no slot.  run is the longest
+    verbatim run in words; coverage is below min_coverage if only it decides.
     text_key is the 64-bit hash of the document's text, which tells rows with
     one id, or none, apart.  Null and empty texts have no windows; items without
     an id are not sought, and of items that repeat id and text there is one.
@@ -203,7 +252,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_
         for rows in batches:
             out = []
             for doc, key, text in zip(rows["doc_id"], rows["text_key"], rows["text"]):
-                out += [(None if pd.isna(doc) else int(doc), key, *r) for r in _rows(windows(text, widths, cache), known)]
+                found = _rows(windows(text, widths, cache), known)
+                out += [(None if pd.isna(doc) else int(doc), key, pos, h, slots) for pos, h, _, _, slots in found]
             yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
 
     d = only(docs, doc_id="long", text="string").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
@@ -212,17 +262,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_
     who = ["doc_id", "text_key", "item_id"]
     both = found.join(items, "h").withColumn("shift", F.col("doc_pos") - F.col("pos"))
     # a diagonal has as many windows as the item at most
-    window = F.struct("pos", F.col("slots").alias("a"), F.col("doc_slots").alias("b"))
-    aligned = both.groupBy(*who, "shift").agg(F.first("n_windows").alias("n_windows"), F.collect_list(window).alias("windows"))
-    consistent = aligned.drop("shift").mapInPandas(_consistent, "doc_id long, text_key long, item_id long, n_windows long, changed long, at array<long>")
-    spots = consistent.select(*who, "n_windows", "changed", F.explode("at").alias("pos"))
-    spots = spots.groupBy(*who, "pos").agg(F.max("n_windows").alias("n_windows"), F.min("changed").alias("changed"))
-    total = spots.groupBy(*who).agg(F.count("*").alias("matched"), F.max("n_windows").alias("n_windows"), F.min("changed").cast("long").alias("changed_slots"))
-    return total.withColumn("coverage", F.col("matched") / F.col("n_windows")).where(F.col("coverage") >= min_coverage)
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE) -> DataFrame:
+    window = F.struct("pos", "exact", "plain", F.col("slots").alias("a"), F.col("doc_slots").alias("b"))
+    of_item = [F.first(c).alias(c) for c in ("width", "n_windows", "n_plain")]
+    aligned = both.groupBy(*who, "shift").agg(*of_item, F.collect_list(window).alias("windows")).drop("shift")
+    counted = aligned.mapInPandas(_counted, "doc_id long, text_key long, item_id long, n_windows long, n_plain long, at array<struct<pos: long, plain: boolean>>, changed long, run long")
+    spots = counted.select(*who, "n_windows", "n_plain", "changed", "run", F.explode("at").alias("at"))
+    most = [F.max(c).alias(c) for c in ("n_windows", "n_plain", "run")]
+    spots = spots.groupBy(*who, "at").agg(*most, F.min("changed").alias("changed"))
+    most = [F.max(c).alias(c) for c in ("n_windows", "n_plain", "run")]
+    total = spots.groupBy(*who).agg(F.count("*").alias("all"), F.count_if("at.plain").alias("of_plain"), *most, F.min("changed").alias("changed_slots"))
+    share = lambda matched, n: F.struct((F.col(matched) / F.col(n)).alias("coverage"), F.col(matched).alias("matched"), F.col(n).alias("n_windows"))
+    best = F.greatest(share("all", "n_windows"), F.when(F.col("n_plain") > 0, share("of_plain", "n_plain")))
+    total = total.select(*who, best.alias("best"), "changed_slots", "run")
+    leaks = total.select(*who, "best.matched", "best.n_windows", "changed_slots", "best.coverage", "run")
+    return leaks.where((F.col("coverage") >= min_coverage) | (F.col("run") >= verbatim_run))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE, verbatim_run: int = VERBATIM_RUN) -> DataFrame:
     """The rows of docs that no item contaminates."""
-    leaks = stage(find_leaks(docs, benchmark, min_coverage).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "leaks")
+    leaks = stage(find_leaks(docs, benchmark, min_coverage, verbatim_run).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "leaks")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__key"))
     return docs.join(leaks, same, "left_anti")
