@@ -328,6 +328,18 @@ def test_near_duplicates_against_all_pairs(spark):
     assert all(g["class_size"] == sizes[g["class_id"]] and g["kept"] == (g["doc_id"] == g["class_id"]) for g in got)
 
 
+def test_near_duplicates_that_repeat_passages(spark):
+    rows = [(10 * p + k, " ".join([prose(104, 700 + p)] * times)) for p in range(12) for k, times in enumerate((1, 2, 3, 8))]
+    got = op6_neardup.near_duplicates(docs(spark, rows)).collect()
+    assert {(g["doc_id"], g["class_id"]) for g in got} == {(d, c) for (d, _), c in classes_of(rows).items()}
+    # without a text between them, once and 8 times
+    ends = [[op6_neardup.shingles(op6_neardup.word_hashes(t, op6_neardup.WordHashes())) for t in (rows[4 * p][1], rows[4 * p + 3][1])] for p in range(12)]
+    assert all(len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) for a, b in ends)
+    apart = [r for r in rows if r[0] % 10 in (0, 3)]
+    got = op6_neardup.near_duplicates(docs(spark, apart)).collect()
+    assert {(g["doc_id"], g["class_id"]) for g in got} == {(d, d - d % 10) for d, _ in apart}
+
+
 def test_near_duplicate_edges(spark):
     got = op6_neardup.near_duplicates(docs(spark, EDGES)).collect()
     assert len(got) == len(EDGES) and sum(g["kept"] for g in got if g["doc_id"] == 3) == 2

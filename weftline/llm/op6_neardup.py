@@ -1,12 +1,13 @@
 """MinHash near-dedup with DartMinHash signatures (Christiani, 2020).
 
-A text is a weighted set: its five-word shingles, weighted 1 + ln(count).  Every
-element has a random, shared process of darts over (weight, rank); a dart hits
+A text is a set of five-word shingles, as links are defined: how often a text
+repeats one counts for nothing.  The darts are for weighted sets; all weights
+are 1.  Every element has a random, shared process of darts over (weight, rank); a dart hits
 a text if it falls below the element's weight there.  Ranks are thrown only up
 to a bound at which a text expects k ln k + 2k darts in all, so the cost of a
 signature does not grow with the text.  Each dart belongs to one of k
 coordinates, and the earliest per coordinate is kept: two texts agree in a
-coordinate with the probability of their weighted Jaccard similarity.
+coordinate with the probability of their Jaccard similarity.
 
 Banding finds candidates; Jaccard over the shingle sets verifies them.  In a
 bucket every member is compared with the bucket's most central member.  Members
@@ -103,21 +104,16 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> n
     return mix64(key + np.arange(bands, dtype=np.uint64) * _P).view(np.int64)
 
 
-def weighted_shingles(text: str | None, cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    sh, count = np.unique(shingles(word_hashes(text, cache)), return_counts=True)
-    return sh, 1.0 + np.log(count)
-
-
 def _bands_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     cache = WordHashes()
     for rows in batches:
         for at in range(0, len(rows), CHUNK):
             part = rows.iloc[at : at + CHUNK]
-            sets = [weighted_shingles(t, cache) for t in part["text"]]
-            full = [i for i, (s, _) in enumerate(sets) if len(s)]
+            sets = [np.unique(shingles(word_hashes(t, cache))) for t in part["text"]]
+            full = [i for i, s in enumerate(sets) if len(s)]
             bands: list = [[] for _ in sets]
             if full:
-                keys = band_keys(dart_minhash([sets[i][0] for i in full], [sets[i][1] for i in full], BANDS * ROWS))
+                keys = band_keys(dart_minhash([sets[i] for i in full], [np.ones(len(sets[i])) for i in full], BANDS * ROWS))
                 for i, key in zip(full, keys):
                     bands[i] = key
             yield pd.DataFrame({"rk": part["rk"].to_numpy(), "doc_id": part["doc_id"].astype("Int64"), "text_key": part["text_key"], "bands": bands})
