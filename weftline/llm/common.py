@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.functions.staging import scratch_dir, stage
+from weftline.functions.staging import discard, scratch_dir, stage
 
-__all__ = ["LONGS", "MIN_SIMILARITY", "SHINGLE_WORDS", "WORD", "WordHashes", "let", "mix64", "only", "powers", "scratch_dir", "shingles", "stage", "unit_interval", "window_hashes", "word_count", "word_hashes"]
+__all__ = ["LONGS", "MIN_SIMILARITY", "SHINGLE_WORDS", "WORD", "WordHashes", "discard", "let", "mix64", "only", "powers", "scratch_dir", "shingles", "stage", "unit_interval", "window_hashes", "word_count", "word_hashes"]
 
 #: A word, as the contracts define it: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

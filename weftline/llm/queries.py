@@ -31,7 +31,7 @@ def op3_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_linededup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = op4_linededup.classify_lines(_table(spark, sf_dir, "documents"))
-    return lines.select("doc_id", "line_no", "kept", F.col("keeper.rk").alias("keeper_doc_id"), F.col("keeper.line_no").alias("keeper_line_no"))
+    return lines.select("doc_id", "line_no", "kept", F.col("keeper.doc_id").alias("keeper_doc_id"), F.col("keeper.line_no").alias("keeper_line_no"))
 
 
 def op5_secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
