@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.staging import stage
+from weftline.functions.staging import discard, stage
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -18,13 +18,15 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = stage(both.where("a <> b").distinct(), "cc-edges")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp"))
-    labels = stage(labels, "cc-labels")
+    last = labels = stage(labels, "cc-labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         sunk = stage(labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp")), "cc-sunk")
         upper = sunk.select(F.col("node").alias("comp"), F.col("comp").alias("upper"))
         jumped = stage(sunk.join(upper, "comp").select("node", "was", F.least("comp", "upper").alias("comp")), "cc-jumped")
-        labels = jumped.select("node", "comp")
+        discard(sunk, last)
+        last, labels = jumped, jumped.select("node", "comp")
         if not jumped.where("comp < was").limit(1).count():
             break
+    discard(both)
     return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
