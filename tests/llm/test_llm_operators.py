@@ -1,5 +1,6 @@
 """Each operator against brute force, and at its edges."""
 
+import gzip
 import hashlib
 import html
 import random
@@ -10,7 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from weftline.llm import op1_mixing, op2_licenses, op3_quality, op4_linededup, op5_secrets, op6_neardup, op7_warc, op8_html, op9_decontamination, op10_sharding
+from weftline.llm import common, op1_mixing, op2_licenses, op3_quality, op4_linededup, op5_secrets, op6_neardup, op7_warc, op8_html, op9_decontamination, op10_sharding
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, h long, shard int, key long, line string, kept boolean"
 R = random.Random(5)
@@ -397,6 +398,21 @@ def test_near_duplicate_edges(spark):
     assert op6_neardup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_near_duplicates_keep_large_ids(spark):
+    rows = [(BIG + 2, prose(60, 1)), (BIG + 3, prose(60, 1)), (BIG + 1, edited(prose(60, 1), 1, 4)), (None, prose(60, 1)), (None, "alone"), ((1 << 63) - 1, "alone too")]
+    got = {(g["doc_id"], g["class_id"], g["class_size"], g["kept"]) for g in op6_neardup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {(BIG + k, BIG + 1, 4, k == 1) for k in (1, 2, 3)} | {(None, BIG + 1, 4, False), (None, None, 1, True), ((1 << 63) - 1, (1 << 63) - 1, 1, True)}
+    assert {g["doc_id"] for g in op6_neardup.deduplicate(docs(spark, rows)).collect()} == {BIG + 1, None, (1 << 63) - 1}
+
+
+def test_near_duplicates_of_hot_groups(spark, monkeypatch):
+    """Hot buckets and leads are dealt to several tasks, with the same classes."""
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    rows = [(i, edited(prose(120, 0), i % 9, i)) for i in range(150)] + [(500 + i, edited(prose(120, 1), i % 9, i)) for i in range(60)]
+    got = op6_neardup.near_duplicates(docs(spark, rows)).collect()
+    assert {(g["doc_id"], g["class_id"]) for g in got} == {(d, c) for (d, _), c in classes_of(rows).items()}
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     a = op6_neardup.mix64(np.arange(1, 401, dtype=np.uint64))
     b = np.concatenate([a[:300], op6_neardup.mix64(np.arange(900, 1000, dtype=np.uint64))])
@@ -408,10 +424,14 @@ def test_dart_signatures_estimate_weighted_similarity():
 # --- 7 ------------------------------------------------------------------------
 
 
+BIG = 1 << 60
+
+
 def test_archives_round_trip(spark):
-    pages = [(i, f"https://www.Site{i % 4}.example.com/p/{i % 9}?q={i}#top", f"<p>{prose(30, i % 12)}</p>\r\n\r\nWARC/1.1 é𝒳") for i in range(60)]
+    pages = [(i, f"https://www.Site{i % 4}.example.com/p/{i % 9}?q={i}#top", f"<p>{prose(30, i % 12)}</p>\r\n\r\nWARC/1.1 \0 é𝒳") for i in range(60)]
     pages += [(70, "http://a.example.org/", "short"), (71, "http://a.example.org/", "short"), (72, None, None), (None, "http://b.example.org/\r\nx", pages[0][2]), (3, pages[3][1], pages[3][2])]
-    table = spark.createDataFrame(pages, "page_id long, url string, html string").withColumnRenamed("url", "url")
+    pages += [(BIG + k, "http://big.example.org/", "the same long payload " * 9) for k in (1, 2, 3)] + [(BIG + 7, "http://long.example.org/", "many words é " * 1_500_000)]
+    table = spark.createDataFrame([(*x, "a", 1, True) for x in pages], "page_id long, url string, html string, run string, seq long, first boolean")
     got = op7_warc.capture_histories(table).collect()
     assert len(got) == len(pages)
     first = {}
@@ -424,11 +444,28 @@ def test_archives_round_trip(spark):
         revisit = h in first and (i is None or i > first[h])
         want[(i, len(b), hashlib.sha256(b).hexdigest(), "revisit" if revisit else "response", first[h] if revisit else None)] += 1
     assert Counter((g["page_id"], g["payload_bytes"], g["payload_digest"], g["record_type"], g["refers_to"]) for g in got) == want
-    order = [(g["url_key"], g["captured"], g["page_id"] if g["page_id"] is not None else float("inf")) for g in got]
+    order = [(g["url_key"], g["captured"], g["page_id"] is None, g["page_id"]) for g in got]
     assert order == sorted(order)
     assert op7_warc.capture_histories(table.where("page_id < 0")).count() == 0
 
 
+def test_index_points_into_the_archives(spark, tmp_path):
+    pages = [(BIG + i, f"http://s{i % 5}.example.com/{i}", f"<p>{prose(200, i)}</p>") for i in range(300)]
+    op7_warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string"), f"file://{tmp_path}/warc", 40_000)
+    records = op7_warc.read_archives(spark, f"file://{tmp_path}/warc")
+    index = op7_warc.merge_index(records, 50)
+    assert index.rdd.getNumPartitions() == 6
+    html = {i: h for i, _, h in pages}
+    got = index.collect()
+    assert [g["page_id"] for g in got] == [i for i, *_ in sorted(pages, key=lambda p: ("com,example,s" + p[1][8] + ")" + p[1].split("com", 1)[1], p[0]))]
+    for g in got:  # a record is decompressed by itself, from its place
+        data = (tmp_path / "warc" / g["run"]).read_bytes()[g["offset"] : g["offset"] + g["length"]]
+        assert gzip.decompress(data).endswith(f"\r\n\r\n{html[g['page_id']]}\r\n\r\n".encode())
+    sizes = [f.stat().st_size for f in (tmp_path / "warc").glob("part-*")]
+    assert len(sizes) > 4 and max(sizes) < 2 * 40_000
+    assert all(b"".join(gzip.decompress(f.read_bytes()) for f in (tmp_path / "warc").glob("part-*")).count(b"WARC/1.1\r\n") == 300 for _ in [0])
+
+
 def test_loser_tree():
     r = random.Random(4)
     for k in (0, 1, 2, 3, 7, 16):
@@ -518,6 +555,14 @@ def test_verbatim_leaks(spark):
     assert next(g for g in got if g["doc_id"] == 3)["run"] == 40
 
 
+def test_leaks_keep_large_ids(spark):
+    rows = [(BIG + 1, f"{prose(9, 6)} {ITEM}"), (BIG + 2, prose(60, 8)), (None, prose(60, 9)), (BIG + 3, ITEM), (None, ITEM)]
+    bench = spark.createDataFrame([(BIG + 9, ITEM, 1, "x")], "item_id long, text string, pos long, h string")  # names used inside
+    assert {(g["doc_id"], g["item_id"]) for g in op9_decontamination.find_leaks(docs(spark, rows), bench).collect()} == {(BIG + 1, BIG + 9), (BIG + 3, BIG + 9), (None, BIG + 9)}
+    left = op9_decontamination.decontaminate(docs(spark, rows), bench).collect()
+    assert {(g["doc_id"], g["text"]) for g in left} == {rows[1], rows[2]}
+
+
 def test_windows_that_contradict_the_names():
     alice, bob, carol, dora, three, five = 3, 5, 7, 9, 2, 4
     f = op9_decontamination.consistent_windows

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from weftline.functions.staging import discard, scratch_dir, stage
 
-__all__ = ["LONGS", "MIN_SIMILARITY", "SHINGLE_WORDS", "WORD", "WordHashes", "discard", "let", "mix64", "only", "powers", "scratch_dir", "shingles", "stage", "unit_interval", "window_hashes", "word_count", "word_hashes"]
+__all__ = ["LONGS", "MIN_SIMILARITY", "SHINGLE_WORDS", "WORD", "WordHashes", "discard", "let", "mix64", "only", "powers", "scratch_dir", "shingles", "spread_join", "stage", "unit_interval", "window_hashes", "word_count", "word_hashes"]
 
 #: A word, as the contracts define it: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,6 +42,31 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: A key is hot if it has more rows than this, and more than a thousandth of all.
+HOT_ROWS = 500
+_HOT_SHARE = 1000
+
+
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """many joined with one on keys; the rows of a hot key of many are dealt by
+    their column `by` to several tasks, each with its copy of the key's rows of
+    one.  There are fewer than 1,000 hot keys, as each has more than a
+    thousandth of the rows: their table is broadcast.  many is read twice; it
+    should be a written table.
+    """
+    total = many.count()
+    part = max(HOT_ROWS, total // _HOT_SHARE)
+    hot = many.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > part).withColumn("__parts", F.ceil(F.col("n") / part).cast("int")).drop("n")
+    rows = hot.collect()
+    if not rows:
+        return many.join(one, keys)
+    hot = F.broadcast(many.sparkSession.createDataFrame(rows, hot.schema))
+    parts = F.coalesce("__parts", F.lit(1))
+    dealt = many.join(hot, keys, "left").withColumn("__part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("__parts")
+    copies = one.join(hot, keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return dealt.join(copies, [*keys, "__part"]).drop("__part")
+
+
 # --- numpy helpers for tasks -------------------------------------------------
 
 _P = np.uint64(0x9E3779B97F4A7C15)

@@ -13,8 +13,9 @@ Banding finds candidates; Jaccard over the shingle sets verifies them.  In a
 bucket every member is compared with the bucket's most central member.  Members
 that stay in different classes are compared across classes, inside the join and
 by what sets each apart from the central one; where their distances to it rule a
-link out (Jaccard distance is a metric) they are not.  So no link in a bucket is
-lost, and only links leave the join.
+link out (Jaccard distance is a metric) they are not.  So no two classes that a
+link in a bucket connects stay apart.  Hot buckets and central members with
+many companions are dealt to many tasks.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.components import components
 
-from .common import MIN_SIMILARITY, WordHashes, mix64, only, shingles, stage, word_hashes
+from .common import MIN_SIMILARITY, WordHashes, discard, mix64, only, shingles, spread_join, stage, word_hashes
 
 BANDS = 25
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8^5)^25 < 5e-5.
@@ -116,7 +117,8 @@ def _bands_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 keys = band_keys(dart_minhash([sets[i] for i in full], [np.ones(len(sets[i])) for i in full], BANDS * ROWS))
                 for i, key in zip(full, keys):
                     bands[i] = key
-            yield pd.DataFrame({"rk": part["rk"].to_numpy(), "doc_id": part["doc_id"].astype("Int64"), "text_key": part["text_key"], "bands": bands})
+            # ids go as they came: none of these columns has nulls, so none turns into floats
+            yield part[["no_id", "rk", "text_key"]].assign(bands=bands)
 
 
 def _sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,37 +140,47 @@ def _members(nodes: DataFrame) -> DataFrame:
     each = stage(each.join(many, "band"), "dart-buckets")
     central = each.groupBy("node").agg(F.sum("size").alias("companions"))
     priority = F.shiftleft(F.least("companions", F.lit((1 << 31) - 1)), 32) + F.pmod(F.xxhash64("node"), F.lit(1 << 32))
-    each = each.drop("size").join(central.select("node", priority.alias("priority")), "node")
-    lead = each.groupBy("band").agg(F.max_by("node", "priority").alias("lead"))
-    return stage(each.join(lead, "band"), "dart-members")
+    ranked = stage(each.drop("size").join(central.select("node", priority.alias("priority")), "node"), "dart-ranked")
+    lead = ranked.groupBy("band").agg(F.max_by("node", "priority").alias("lead"))
+    members = stage(spread_join(ranked, lead, ["band"], "node"), "dart-members")
+    discard(each, ranked)
+    return members
 
 
 def _across(members: DataFrame, tested: DataFrame, comp: DataFrame, sets: DataFrame, min_similarity: float) -> DataFrame:
-    """a, b: the links between members of a bucket that are in different classes.
+    """a, b: links between members of a bucket that are in different classes;
+    of each two classes that are linked, one link.
 
     A member is its bucket's first set without the shingles `gone` and with the
     shingles `new`, so what two members share follows from what they share of
-    these short lists.  The join itself compares them, and only links leave it.
-    Most pairs fall to what is known before: if two are linked, their distances
-    to the first differ by no more than their own distance, and the smaller set
-    is no less than min_similarity of the larger.
+    these short lists.  Members outside the first's class meet all members; the
+    join itself compares them, hot buckets in many tasks.  Most pairs fall to
+    what is known before: if two are linked, their distances to the first differ
+    by no more than their own distance, and the smaller set is no less than
+    min_similarity of the larger.
     """
-    both = members.join(comp, "node").join(comp.select(F.col("node").alias("lead"), F.col("comp").alias("lead_comp")), "lead")
-    both = stage(both, "dart-within")
-    apart = both.where("comp <> lead_comp").select("band", "lead").distinct()
+    with_class = stage(members.join(comp, "node"), "dart-within")
+    of_lead = comp.select(F.col("node").alias("lead"), F.col("comp").alias("lead_comp"))
+    both = stage(spread_join(with_class, of_lead, ["lead"], "node").select("band", "node", "lead", "comp", (F.col("comp") != F.col("lead_comp")).alias("apart")), "dart-sides")
+    apart = both.where("apart").select("band", "lead").distinct()
     first = sets.select(F.col("node").alias("lead"), F.col("shingles").alias("first"))
     own = sets.select("node", F.col("shingles").alias("own"))
     changes = tested.select(F.col("a").alias("lead"), F.col("b").alias("node"), (1 - F.col("similarity")).alias("far"))
-    changes = changes.join(apart.select("lead").distinct(), "lead").join(first, "lead").join(own, "node")
-    changes = changes.select("lead", "node", "far", F.size("first").alias("base"), F.size("own").alias("n"), F.array_except("own", "first").alias("new"), F.array_except("first", "own").alias("gone"))
-    rest = stage(both.join(apart.select("band"), "band").join(stage(changes, "dart-changes"), ["lead", "node"]).drop("lead", "lead_comp", "priority"), "dart-rest")
-    one, two = rest.alias("one"), rest.alias("two")
-    on = (F.col("one.band") == F.col("two.band")) & (F.col("one.node") < F.col("two.node")) & (F.col("one.comp") != F.col("two.comp"))
-    near = (F.abs(F.col("one.far") - F.col("two.far")) <= 1 - min_similarity + 1e-9) & (F.least("one.n", "two.n") >= min_similarity * F.greatest("one.n", "two.n") - 1e-9)
-    same = lambda c: F.size(F.array_intersect(f"one.{c}", f"two.{c}"))
-    shared = F.col("one.base") - F.size("one.gone") - F.size("two.gone") + same("gone") + same("new")
-    linked = shared * (1 + min_similarity) >= min_similarity * (F.col("one.n") + F.col("two.n")) - 1e-9
-    return one.join(two, on & near & linked).select(F.col("one.node").alias("a"), F.col("two.node").alias("b")).distinct()
+    changes = stage(changes.join(apart.select("lead").distinct(), "lead"), "dart-sought")
+    compared = spread_join(changes, first, ["lead"], "node").join(own, "node")
+    compared = compared.select("lead", "node", "far", F.size("first").alias("base"), F.size("own").alias("n"), F.array_except("own", "first").alias("new"), F.array_except("first", "own").alias("gone"))
+    compared = stage(compared, "dart-changes")
+    rest = stage(both.join(apart.select("band"), "band").join(compared, ["lead", "node"]).drop("lead"), "dart-rest")
+    outer = rest.where("apart").select(*[F.col(c).alias(f"{c}_") for c in rest.columns if c != "band"], "band")
+    near = (F.abs(F.col("far") - F.col("far_")) <= 1 - min_similarity + 1e-9) & (F.least("n", "n_") >= min_similarity * F.greatest("n", "n_") - 1e-9)
+    same = lambda c: F.size(F.array_intersect(c, f"{c}_"))
+    shared = F.col("base") - F.size("gone") - F.size("gone_") + same("gone") + same("new")
+    linked = shared * (1 + min_similarity) >= min_similarity * (F.col("n") + F.col("n_")) - 1e-9
+    pairs = spread_join(rest, outer, ["band"], "node").where((F.col("comp") != F.col("comp_")) & (~F.col("apart") | (F.col("node") < F.col("node_"))) & near & linked)
+    late = pairs.groupBy(F.least("comp", "comp_").alias("x"), F.greatest("comp", "comp_").alias("y")).agg(F.min(F.struct("node", "node_")).alias("link"))
+    late = stage(late.select(F.col("link.node").alias("a"), F.col("link.node_").alias("b")), "dart-late")
+    discard(with_class, both, changes, compared, rest)
+    return late
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -176,12 +188,12 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     same = F.size(F.array_intersect("x", "y"))
-    joined = pairs.join(one, "a").join(two, "b").withColumn("same", same)
+    joined = spread_join(pairs, one, ["a"], "b").join(two, "b").withColumn("same", same)
     return joined.select("a", "b", (F.col("same") / (F.size("x") + F.size("y") - F.col("same"))).alias("similarity"))
 
 
 def near_duplicates(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
-    """rk, doc_id, text_key, class_id, class_size, kept for every row of docs.
+    """doc_id, text_key, class_id, class_size, kept for every row of docs.
 
     Two texts are linked if the Jaccard similarity of their sets of five-word
     shingles is min_similarity or more; a text of one to four words is one
@@ -196,45 +208,47 @@ def near_duplicates(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) ->
     d = only(docs, doc_id="long", text="string")
     # null texts are kept apart: the key of each is its id
     key = F.when(F.col("text").isNotNull(), F.md5("text")).otherwise(F.concat(F.lit("null "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    keyed = d.select("doc_id", "text", key.alias("text_key"), F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("rk"))
-    rows = stage(keyed.mapInPandas(_bands_of, "rk long, doc_id long, text_key string, bands array<long>"), "dart-bands")
+    keyed = d.select(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("rk"), "text", key.alias("text_key"))
+    rows = stage(keyed.mapInPandas(_bands_of, "no_id boolean, rk long, text_key string, bands array<long>"), "dart-bands")
     # one node for each different text
-    first = rows.groupBy("text_key").agg(F.min("rk").alias("rk"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    nodes = stage(first.sortWithinPartitions("text_key").withColumn("node", F.monotonically_increasing_id()), "dart-nodes")
+    at = F.struct("no_id", "rk")
+    first = rows.groupBy("text_key").agg(F.min(at).alias("at"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    nodes = stage(first.withColumn("node", F.monotonically_increasing_id()), "dart-nodes")
     members = _members(nodes)
     pairs = stage(members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "dart-pairs")
     sought = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sought = nodes.join(sought, "node").select("node", "text_key", "rk")
-    texts = keyed.join(sought, ["rk", "text_key"]).select("node", "text")
+    sought = nodes.join(sought, "node").select("node", "text_key", "at.no_id", "at.rk")
+    texts = keyed.join(sought, ["no_id", "rk", "text_key"]).select("node", "text")
     sets = stage(texts.mapInPandas(_sets_of, "node long, shingles array<int>").dropDuplicates(["node"]), "dart-sets")
-    linked = F.col("similarity") >= min_similarity
     tested = stage(_verified(pairs, sets), "dart-tested")
-    links = tested.where(linked).select("a", "b")
+    links = tested.where(F.col("similarity") >= min_similarity).select("a", "b")
     comp = stage(components(nodes, links), "dart-classes")
-    late = stage(_across(members, tested, comp, sets, min_similarity), "dart-late")
+    late = _across(members, tested, comp, sets, min_similarity)
     if late.limit(1).count():
+        discard(comp)
         comp = stage(components(nodes, links.union(late)), "dart-classes")
-    classed = nodes.join(comp, "node")
-    total = classed.groupBy("comp").agg(F.min(F.struct("rk", "text_key")).alias("first"), F.sum("copies").alias("class_size"))
-    of_text = classed.join(total, "comp").select("text_key", "first", "class_size")
-    never = F.lit((1 << 63) - 1)
-    return rows.select("rk", "doc_id", "text_key").join(of_text, "text_key").select(
-        "rk", "doc_id", "text_key",
-        F.when(F.col("first.rk") != never, F.col("first.rk")).alias("class_id"),
+    discard(members, pairs, sets, tested, late)
+    classed = stage(nodes.join(comp, "node").select("text_key", "at", "copies", "comp"), "dart-classed")
+    total = classed.groupBy("comp").agg(F.min(F.struct("at", "text_key")).alias("first"), F.sum("copies").alias("class_size"))
+    of_text = stage(spread_join(classed.select("text_key", "comp"), total, ["comp"], "text_key").drop("comp"), "dart-texts")
+    out = rows.select("no_id", "rk", "text_key").join(of_text, "text_key").select(
+        F.when(~F.col("no_id"), F.col("rk")).alias("doc_id"), "text_key",
+        F.when(~F.col("first.at.no_id"), F.col("first.at.rk")).alias("class_id"),
         "class_size",
-        ((F.col("rk") == F.col("first.rk")) & (F.col("text_key") == F.col("first.text_key"))).alias("kept"),
+        ((at == F.col("first.at")) & (F.col("text_key") == F.col("first.text_key"))).alias("kept"),
     )
+    out = stage(out, "dart-told")
+    discard(rows, nodes, comp, classed, of_text)
+    return out
 
 
 def deduplicate(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """Columns of docs, one row of each class; null texts stay."""
     key = F.when(F.col("text").isNotNull(), F.md5(F.col("text").cast("string"))).otherwise(F.concat(F.lit("null "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    keep = stage(
-        near_duplicates(docs, min_similarity).where("kept").groupBy(F.col("rk").alias("__rk"), F.col("text_key").alias("__key")).agg(F.count("*").alias("__n")),
-        "dart-keep",
-    )
-    rows = docs.withColumn("__rk", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("__key", key)
-    kept = rows.join(keep, ["__rk", "__key"])
+    who = lambda i: [F.col(i).isNull().alias("__none"), F.coalesce(F.col(i).cast("long"), F.lit(0)).alias("__rk")]
+    kept = near_duplicates(docs, min_similarity).where("kept").select(*who("doc_id"), F.col("text_key").alias("__key"))
+    keep = stage(kept.groupBy("__none", "__rk", "__key").agg(F.count("*").alias("__n")), "dart-keep")
+    out = docs.select("*", *who("doc_id"), key.alias("__key")).join(keep, ["__none", "__rk", "__key"])
     if keep.where("__n > 1").limit(1).count():  # rows that repeat id and text: one of them stays
-        kept = kept.dropDuplicates(["__rk", "__key"])
-    return kept.select(*docs.columns)
+        out = out.dropDuplicates(["__none", "__rk", "__key"])
+    return out.select(*docs.columns)
