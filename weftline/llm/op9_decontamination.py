@@ -209,8 +209,7 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             at = sorted(exact.union(kept))
             plain = {w["pos"] for w in each if w["plain"]}
             out.append(([{"pos": p, "plain": p in plain} for p in at], changed, longest_run(exact, width)))
-        own = rows[["doc_id", "text_key", "item_id", "n_windows", "n_plain"]].astype({"doc_id": "Int64"})
-        yield own.assign(at=[r[0] for r in out], changed=[r[1] for r in out], run=[r[2] for r in out])
+        yield rows[["no_id", "rk", "text_key", "item_id", "n_windows", "n_plain"]].assign(at=[r[0] for r in out], changed=[r[1] for r in out], run=[r[2] for r in out])
 
 
 def _bitmap(hashes: DataFrame) -> np.ndarray:
@@ -243,7 +242,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = Templates()
-        columns = ["doc_id", "text_key", "doc_pos", "h", "doc_slots"]
+        columns = ["no_id", "rk", "text_key", "doc_pos", "h", "doc_slots"]
 
         def known(h: np.ndarray) -> np.ndarray:
             at = (h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
@@ -251,21 +250,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_
 
         for rows in batches:
             out = []
-            for doc, key, text in zip(rows["doc_id"], rows["text_key"], rows["text"]):
+            for no_id, doc, key, text in zip(rows["no_id"], rows["rk"], rows["text_key"], rows["text"]):
                 found = _rows(windows(text, widths, cache), known)
-                out += [(None if pd.isna(doc) else int(doc), key, pos, h, slots) for pos, h, _, _, slots in found]
-            yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
+                out += [(no_id, doc, key, pos, h, slots) for pos, h, _, _, slots in found]
+            yield pd.DataFrame(out, columns=columns)
 
-    d = only(docs, doc_id="long", text="string").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    found = d.mapInPandas(cut, "doc_id long, text_key long, doc_pos long, h long, doc_slots array<long>")
+    # ids ride in columns without nulls, which pandas would turn into floats
+    d = only(docs, doc_id="long", text="string").select(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("rk"), F.xxhash64("text").alias("text_key"), "text")
+    found = d.mapInPandas(cut, "no_id boolean, rk long, text_key long, doc_pos long, h long, doc_slots array<long>")
     found = stage(found.distinct(), "leak-windows")
-    who = ["doc_id", "text_key", "item_id"]
+    who = ["no_id", "rk", "text_key", "item_id"]
     both = found.join(items, "h").withColumn("shift", F.col("doc_pos") - F.col("pos"))
     # a diagonal has as many windows as the item at most
     window = F.struct("pos", "exact", "plain", F.col("slots").alias("a"), F.col("doc_slots").alias("b"))
     of_item = [F.first(c).alias(c) for c in ("width", "n_windows", "n_plain")]
     aligned = both.groupBy(*who, "shift").agg(*of_item, F.collect_list(window).alias("windows")).drop("shift")
-    counted = aligned.mapInPandas(_counted, "doc_id long, text_key long, item_id long, n_windows long, n_plain long, at array<struct<pos: long, plain: boolean>>, changed long, run long")
+    counted = aligned.mapInPandas(_counted, "no_id boolean, rk long, text_key long, item_id long, n_windows long, n_plain long, at array<struct<pos: long, plain: boolean>>, changed long, run long")
     spots = counted.select(*who, "n_windows", "n_plain", "changed", "run", F.explode("at").alias("at"))
     most = [F.max(c).alias(c) for c in ("n_windows", "n_plain", "run")]
     spots = spots.groupBy(*who, "at").agg(*most, F.min("changed").alias("changed"))
@@ -274,7 +274,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_
     share = lambda matched, n: F.struct((F.col(matched) / F.col(n)).alias("coverage"), F.col(matched).alias("matched"), F.col(n).alias("n_windows"))
     best = F.greatest(share("all", "n_windows"), F.when(F.col("n_plain") > 0, share("of_plain", "n_plain")))
     total = total.select(*who, best.alias("best"), "changed_slots", "run")
-    leaks = total.select(*who, "best.matched", "best.n_windows", "changed_slots", "best.coverage", "run")
+    leaks = total.select(F.when(~F.col("no_id"), F.col("rk")).alias("doc_id"), "text_key", "item_id", "best.matched", "best.n_windows", "changed_slots", "best.coverage", "run")
     return leaks.where((F.col("coverage") >= min_coverage) | (F.col("run") >= verbatim_run))
 
 
