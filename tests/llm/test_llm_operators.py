@@ -158,19 +158,26 @@ def test_quality_scores_and_verdicts(spark):
     trusted = spark.createDataFrame([(i,) for i in range(40)] + [(None,), (99999,)], "doc_id long")
     out = op3_quality.quality_rules(docs(spark, rows), trusted).collect()
     # brute force: counts by n-gram feature with plain loops
-    raw, target = Counter(), Counter()
+    fold = {r["doc_id"]: r["fold"] for r in op3_quality.trusted_ids(trusted).collect()}
+    raw, target = Counter(), (Counter(), Counter())
+    features = lambda t: op3_quality.ngram_buckets(op3_quality.words_of(t)).tolist()
     for i, t in rows:
-        f = op3_quality.ngram_buckets(op3_quality.words_of(t)).tolist()
-        raw.update(f)
-        if i is not None and i < 40 and i in {k for k, _ in good} | {1, 2, 3, 4, 5}:
-            target.update(f)
-    n, m = sum(target.values()), sum(raw.values())
-    ratio = lambda f: np.log((target[f] + 20_000 * raw[f] / m) / (n + 20_000) / (raw[f] / m))
+        raw.update(features(t))
+        if i in fold:
+            target[fold[i]].update(features(t))
+    m = sum(raw.values())
+
+    def llr(t, counts):
+        n = sum(counts.values())
+        return float(np.mean([np.log((counts[f] / n + 0.3 * raw[f] / m) / 1.3 / (raw[f] / m)) for f in features(t)])) if features(t) else 0.0
+
+    failed = lambda t: len(words(t)) < 20 or 100 * repeated(words(t)) > 30 * len(words(t))
+    trusted_scores = sorted(llr(t, target[1 - fold[i]]) for i, t in rows if i in fold and not failed(t))
+    low, median = np.quantile(trusted_scores, [0.01, 0.5])
+    least = low - 0.25 * (median - low) - 6 / len(trusted_scores)
     for o in out:
-        f = op3_quality.ngram_buckets(op3_quality.words_of(o["text"])).tolist()
-        assert o["llr"] == pytest.approx(np.mean([ratio(x) for x in f]) if f else 0.0)
-        failed = o["n_words"] < 20 or 100 * o["n_repeat_words"] > 30 * o["n_words"]
-        assert (o["base_failed"], o["kept"]) == (failed, not failed and o["llr"] >= op3_quality.THRESHOLD)
+        assert o["llr"] == pytest.approx(llr(o["text"], target[0] + target[1]))
+        assert (o["base_failed"], o["kept"]) == (failed(o["text"]), not failed(o["text"]) and o["llr"] >= least)
     kept = {o["doc_id"] for o in out if o["kept"]}
     assert {i for i, _ in good} <= kept and not kept & {i for i, _ in bad}  # those not trusted too
     assert len(out) == len(rows)
@@ -182,14 +189,16 @@ def test_quality_without_trust_or_rows(spark):
     assert op3_quality.quality_rules(docs(spark, []), none).count() == 0
 
 
-def test_quality_held_out_accuracy(spark):
+@pytest.mark.parametrize("modulus, bad_kept", [(2, 0.05), (40, 0.5), (400, 1.0)])
+def test_quality_held_out_accuracy(spark, modulus, bad_kept):
+    """Documents with other labels than those fitted on, by number of trusted: about 1,660, 80 and 8."""
     path = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{path}/labels.parquet")
-    fit = labels.where("quality = 1 and doc_id % 2 = 0")
-    out = op3_quality.quality_rules(spark.read.parquet(f"{path}/documents.parquet"), fit).join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
+    out = op3_quality.quality_rules(spark.read.parquet(f"{path}/documents.parquet"), labels.where(f"quality = 1 and doc_id % {modulus} = 0")).join(labels.where("doc_id % 2 = 1"), "doc_id")
+    out = out.select("quality", "base_failed", "kept").collect()
     good = [o for o in out if o["quality"] == 1 and not o["base_failed"]]
     bad = [o for o in out if o["quality"] == 0]
-    assert sum(o["kept"] for o in good) >= 0.99 * len(good) and sum(o["kept"] for o in bad) <= 0.1 * len(bad)
+    assert sum(o["kept"] for o in good) >= 0.99 * len(good) and sum(o["kept"] for o in bad) <= bad_kept * len(bad)
 
 
 # --- 4 ------------------------------------------------------------------------
@@ -314,17 +323,55 @@ def test_secret_patterns(spark):
     assert len(got) == len(rows)
 
 
+def natural_prose(n, seed):
+    """Words of letters that are as frequent as in English, and some numbers."""
+    r = random.Random(seed)
+    letters = "eeeeeeeeeeeetttttttttaaaaaaaaooooooooiiiiiiinnnnnnnsssssshhhhhhrrrrrrddddllllcccuuummwwffggyyppbbvk"
+    return " ".join(str(r.randint(1, 2030)) if r.random() < 0.03 else "".join(r.choice(letters) for _ in range(r.randint(2, 9))) for _ in range(n))
+
+
 def test_random_strings_are_found_and_words_are_not(spark):
     r = random.Random(2)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    rows = [(i, f"{prose(20, i)} {''.join(r.choice(alphabet) for _ in range(r.choice([24, 32, 40])))} tail") for i in range(60)]
-    rows += [(100 + i, f"{prose(20, i)} this-is-page-number-{2000 + i}-of-the-handbook {'ab1' * 12} abcdefghijklmnopqrstuvwxyz0123456789") for i in range(20)]
+    rows = [(i, f"{natural_prose(20, i)} {''.join(r.choice(alphabet) for _ in range(r.choice([24, 32, 40])))} tail") for i in range(60)]
+    rows += [(100 + i, f"{natural_prose(20, i)} this-is-page-number-{2000 + i}-of-the-handbook {'ab1' * 12} abcdefghijklmnopqrstuvwxyz0123456789") for i in range(20)]
     got = {g["doc_id"]: g["spans"] for g in op5_secrets.secret_digest(op5_secrets.find_secrets(docs(spark, rows))).collect()}
-    assert sum("random" in got[i] for i in range(60)) >= 57
+    assert sum("random" in got[i] for i in range(60)) >= 54
     assert not any("random" in got[i] for i in range(100, 120))
     assert op5_secrets.find_secrets(docs(spark, [])).count() == 0
 
 
+ALPHABETS = {"hex": "0123456789ABCDEF", "base 32": "abcdefghijklmnopqrstuvwxyz234567", "BASE 32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base 36": "abcdefghijklmnopqrstuvwxyz0123456789", "base 62": op5_secrets.MIXED_CASE, "base 64": op5_secrets.MIXED_CASE + "+/"}
+
+
+def test_long_keys_of_every_encoding_are_found(spark):
+    r = random.Random(4)
+    keys = [(kind, n, "".join(r.choice(a) for _ in range(n))) for kind, a in ALPHABETS.items() for n in (64, 128) for _ in range(10)]
+    keys += [("groups", 36, "-".join("".join(r.choice("0123456789ABCDEF") for _ in range(n)) for n in (8, 4, 4, 4, 12))) for _ in range(20)]
+    rows = [(k, f"{natural_prose(40, k)} {key} {natural_prose(5, k)} see-the-page-number-{k}00-of-the-{'-'.join(natural_prose(3, k).split())}") for k, (_, _, key) in enumerate(keys)]
+    got = {g["doc_id"]: g["secrets"] for g in op5_secrets.find_secrets(docs(spark, rows)).collect()}
+    found = Counter(kind for k, (kind, _, key) in enumerate(keys) if any(rows[k][1][s["start"] : s["end"]] == key for s in got[k] if s["kind"] == 3))
+    assert all(found[kind] >= 17 for kind, _, _ in keys), found  # a key of 64 characters can be as uneven as natural ones
+    assert not any("page" in rows[k][1][s["start"] : s["end"]] for k in got for s in got[k])
+
+
+def test_battery_is_calibrated(spark):
+    """Strings of the corpus's own characters reach a p-value no more often than it says, random data fail the battery as seldom as stated."""
+    text = " ".join(prose(400, 1000 + k) for k in range(20)) + " 0123456789" * 40
+    natural = op5_secrets.natural_moments(spark.createDataFrame([(text,)], "text string"))
+    pool, r = [c for c in text if c != " "], random.Random(6)
+    rows = [("natural", n, "".join(r.choice(pool) for _ in range(n))) for n in (20, 32, 64) for _ in range(1500)]
+    rows += [(kind, n, "".join(r.choice(a) for _ in range(n))) for kind, a in ALPHABETS.items() for n in (20, 40, 100) for _ in range(500)]
+    table = spark.createDataFrame(rows, "kind string, n int, token string")
+    steps = table.select("kind", "n", op5_secrets.randomness_step(table["token"], natural).alias("step")).collect()
+    for n in (20, 32, 64):
+        mine = [g["step"] for g in steps if (g["kind"], g["n"]) == ("natural", n)]
+        for p in (0.1, 0.01, 0.001):
+            assert sum(10 ** (-s / op5_secrets.STEPS) <= p for s in mine) / len(mine) <= 1.5 * p + 0.003, (n, p)
+    failed = [g["step"] == 0 for g in steps if g["kind"] != "natural"]
+    assert sum(failed) / len(failed) < 0.02
+
+
 # --- 6 ------------------------------------------------------------------------
 
 
