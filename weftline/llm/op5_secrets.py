@@ -2,14 +2,21 @@
 
 Three patterns find what is plainly a secret.  The method adds strings that
 look random: a candidate is a run of 20 or more characters of a base-64
-alphabet with a letter and a digit.  Its encoding (hex, base 32, base 62, base
-64) is inferred from its characters; tests of that alphabet then ask whether it
-is random: chi-squared uniformity, runs about the median, serial correlation.
-A candidate that fails one is not random.  For the others the p-value is that
-of so even a chi-squared in text of natural letter frequencies of the same
-length, and the Benjamini-Hochberg rule over all candidates of the corpus sets
-the cut, so that a short string needs more than a long one and the share of
-false discoveries is held.
+alphabet with a letter and a digit.  Its encoding (hex, base 32, base 36, base
+62, base 64) is inferred from its characters, separators between groups aside.
+A battery of three tests looks at it in that encoding: chi-squared uniformity of
+the alphabet, runs about the median, serial correlation; each has its exact
+moments for the length.
+
+Two questions are put to the battery.  Is the string as random data would be?
+Fisher's combination of the three two-sided p-values says no if it is below
+TEST_LEVEL.  Could it be natural?  There characters are as frequent as in the
+corpus (counted over all documents without their candidates, case aside where
+the encoding has one), which repeats them more often than random data, and clusters them; the three scores,
+one-sided and combined by Stouffer's rule, give the p-value of a natural string
+of that length.  The Benjamini-Hochberg rule over all candidates of the corpus
+then holds the share of false discoveries, so that a short string needs to be
+more even than a long one.
 """
 
 from __future__ import annotations
@@ -27,14 +34,18 @@ MIN_ASSIGNED = 12
 KINDS = ("assign", "access", "hex", "random")
 
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
-#: Sum of squared letter frequencies in natural strings, by size of the alphabet.
-NATURAL = {16: 0.125, 32: 0.09, 62: 0.075, 64: 0.075}
-#: Each randomness test rejects so few random strings; 3.29 and 3.09 are the
-#: two-sided and one-sided bounds of the normal distribution for it.
+#: Characters of an encoding; those of one case stand for both where a string
+#: keeps to one case.
+ENCODINGS = {16: "0123456789abcdef", 32: "abcdefghijklmnopqrstuvwxyz234567", 36: "abcdefghijklmnopqrstuvwxyz0123456789"}
+ONE_CASE = ENCODINGS[36]
+MIXED_CASE = ONE_CASE + ONE_CASE[:26].upper()
+SIZES = (16, 32, 36, 62, 64)
+#: Share of random strings that the battery takes for not random.
 TEST_LEVEL = 0.001
-TWO_SIDED, ONE_SIDED = 3.29, 3.09
+#: Weights of uniformity, runs and serial correlation in Stouffer's rule.
+WEIGHTS = (2.0, 1.0, 1.0)
 #: Share of false discoveries among the strings that the method adds.
-FALSE_DISCOVERIES = 0.01
+FALSE_DISCOVERIES = 0.05
 #: p-values are counted in steps of a twentieth of a power of ten, down to 10^-100.
 STEPS, LAST_STEP = 20, 2000
 
@@ -68,57 +79,114 @@ def _spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of)
 
 
+def natural_moments(texts: DataFrame) -> dict[int, tuple[float, float]]:
+    """By encoding, the sums of squared and of cubed frequencies of its
+    characters in all texts, candidates left out (and as if each were there once
+    more).  texts: text."""
+    texts = texts.select(F.regexp_replace("text", CANDIDATE, "").alias("text"))
+    times = lambda c: F.sum(F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))).alias(f"c{ord(c)}")
+    found = texts.agg(*[times(c) for c in MIXED_CASE + "+/"]).first()
+    count = {c: (found[f"c{ord(c)}"] or 0) for c in MIXED_CASE + "+/"}
+    out = {}
+    for size in SIZES:
+        if size in ENCODINGS:
+            n = [1 + count[c] + (count[c.upper()] if c.isalpha() else 0) for c in ENCODINGS[size]]
+        else:
+            n = [1 + count[c] for c in MIXED_CASE + "+/" * (size == 64)]
+        out[size] = (sum((x / sum(n)) ** 2 for x in n), sum((x / sum(n)) ** 3 for x in n))
+    return out
+
+
+def uniform_moments(size: int) -> tuple[float, float]:
+    return 1 / size, 1 / size**2
+
+
 def alphabet_size(token: Column) -> Column:
     return (
         F.when(token.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), 16)
-        .when(token.rlike("^[A-Z2-7]+$"), 32)
+        .when(token.rlike("^(?:[A-Z2-7]+|[a-z2-7]+)$"), 32)
+        .when(token.rlike("^(?:[A-Z0-9]+|[a-z0-9]+)$"), 36)
         .when(token.rlike("^[A-Za-z0-9]+$"), 62)
         .otherwise(64)
     )
 
 
-def randomness_step(token: Column) -> Column:
-    """How small the p-value of a candidate is, in STEPS a power of ten; 0 if a
-    test finds that it isn't random."""
-    codes = F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.ascii(F.substring(token, i, F.lit(1))))
-    return let(codes, lambda c: _step(token, c))
-
-
-def _step(token: Column, codes: Column) -> Column:
-    n = F.length(token).cast("double")
-    size = alphabet_size(token).cast("double")
-    add = lambda items, f: F.aggregate(items, F.lit(0.0), lambda a, x: a + f(x))
-    squares = add(F.array_distinct(codes), lambda c: F.pow(F.size(F.filter(codes, lambda x: x == c)), F.lit(2.0)))
-    middle = F.element_at(F.array_sort(codes), (F.length(token) / 2).cast("int") + 1)
-    mean = add(codes, lambda c: c) / n
-    known = F.struct(squares.alias("squares"), middle.alias("middle"), mean.alias("mean"))
-    return let(known, lambda k: _tested(n, size, codes, k))
-
-
-def _tested(n: Column, size: Column, codes: Column, known: Column) -> Column:
-    add = lambda items, f: F.aggregate(items, F.lit(0.0), lambda a, x: a + f(x))
-    squares, middle, mean = known["squares"], known["middle"], known["mean"]
-    chi = squares * size / n - n
-    df = size - 1
-    uneven = (F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (df * 9))) / F.sqrt(2 / (df * 9))
-    # runs about the median
-    low = add(codes, lambda c: F.when(c < middle, 1.0).otherwise(0.0))
+def randomness_step(token: Column, natural: dict[int, tuple[float, float]]) -> Column:
+    """How small the p-value of a candidate is as a natural string, in STEPS a
+    power of ten; 0 if the battery finds that it isn't random."""
+    bare = F.regexp_replace(token, "[-_]", "")
+    return let(bare, lambda t: let(_codes(t), lambda c: _step(t, c, natural)))
+
+
+def _codes(token: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(token), F.lit(1))), lambda i: F.ascii(F.substring(token, i, F.lit(1))))
+
+
+def _sum(items: Column, f) -> Column:
+    return F.aggregate(items, F.lit(0.0), lambda a, x: a + f(x))
+
+
+def _step(token: Column, codes: Column, natural: dict[int, tuple[float, float]]) -> Column:
+    n, size = F.length(token), alphabet_size(token)
+    squares = _sum(F.array_distinct(codes), lambda c: F.pow(F.size(F.filter(codes, lambda x: x == c)), F.lit(2.0)))
+    middle = F.element_at(F.array_sort(codes), (n / 2).cast("int") + 1)
+    mean = _sum(codes, lambda c: c) / n
+    by_size = lambda moments, k: F.element_at(F.array(*[F.lit(float(moments(s)[k])) for s in SIZES]), F.array_position(F.array(*[F.lit(s) for s in SIZES]), size).cast("int"))
+    known = F.struct(
+        n.cast("double").alias("n"), ((squares - n) / 2).alias("pairs"), middle.alias("middle"), mean.alias("mean"),
+        *[by_size(natural.get, k).alias(f"natural{k}") for k in (0, 1)], *[by_size(uniform_moments, k).alias(f"uniform{k}") for k in (0, 1)],
+    )
+    return let(known, lambda k: let(_battery(codes, k), _verdict))
+
+
+def _battery(codes: Column, k: Column) -> Column:
+    """struct of z-scores: even (of uniformity, for random data), natural (the
+    same, for natural strings), runs (positive: too few), serial."""
+    n = k["n"]
+    low = _sum(codes, lambda c: F.when(c < k["middle"], 1.0).otherwise(0.0))
     mean_runs = low * (n - low) * 2 / n + 1
-    pairs = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    runs = add(pairs, lambda p: F.when((p["a"] < middle) != (p["b"] < middle), 1.0).otherwise(0.0)) + 1
-    runs_z = F.abs(runs - mean_runs) / F.sqrt((mean_runs - 1) * (mean_runs - 2) / (n - 1))
-    # serial correlation
-    spread = add(codes, lambda c: F.pow(c - mean, F.lit(2.0)))
-    serial_z = F.abs(add(pairs, lambda p: (p["a"] - mean) * (p["b"] - mean)) / spread + 1 / n) * F.sqrt(n)
-    # p-value: so low a chi-squared, where natural frequencies would raise it by excess
-    excess = F.lit(0.0)
-    for k, s in NATURAL.items():
-        excess = F.when(size == k, n * (k * s - 1)).otherwise(excess)
-    z = (chi - df - excess) / F.sqrt((df + excess * 2) * 2)
-    t = z * 1.5976 + F.pow(z, F.lit(3.0)) * 0.07056  # the normal distribution, by a logistic curve
-    step = F.floor(F.log1p(F.exp(-F.greatest(t, F.lit(-500.0)))) / F.log(F.lit(10.0)) * STEPS)
-    random = (spread > 0) & (mean_runs > 2) & (uneven <= ONE_SIDED) & (runs_z <= TWO_SIDED) & (serial_z <= TWO_SIDED)
-    return F.when(random, F.least(step, F.lit(LAST_STEP))).otherwise(0).cast("int")
+    ends = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    runs = _sum(ends, lambda p: F.when((p["a"] < k["middle"]) != (p["b"] < k["middle"]), 1.0).otherwise(0.0)) + 1
+    spread = _sum(codes, lambda c: F.pow(c - k["mean"], F.lit(2.0)))
+    serial = _sum(ends, lambda p: (p["a"] - k["mean"]) * (p["b"] - k["mean"])) / spread
+    valid = (spread > 0) & (mean_runs > 2) & (n > 2)
+    return F.when(
+        valid,
+        F.struct(
+            _evenness(k["pairs"], n, k["uniform0"], k["uniform1"]).alias("even"),
+            _evenness(k["pairs"], n, k["natural0"], k["natural1"]).alias("natural"),
+            ((mean_runs - runs) / F.sqrt((mean_runs - 1) * (mean_runs - 2) / (n - 1))).alias("runs"),
+            ((serial + 1 / n) / ((n - 2) / (n * F.sqrt(n - 1)))).alias("serial"),
+        ),
+    )
+
+
+def _evenness(pairs: Column, n: Column, squares: Column, cubes: Column) -> Column:
+    """z-score of the number of pairs of equal characters, which is chi-squared
+    up to scale, where characters have frequencies with these sums of squares
+    and cubes: exact mean and variance, and the cube root against the skew."""
+    mean = n * (n - 1) / 2 * squares
+    variance = n * (n - 1) / 2 * (squares - squares * squares) + n * (n - 1) * (n - 2) * F.greatest(cubes - squares * squares, F.lit(0.0))
+    shape = mean * mean / variance
+    return (F.pow(pairs / mean, F.lit(1 / 3)) - 1 + 1 / (9 * shape)) * 3 * F.sqrt(shape)
+
+
+def log_tail(z: Column) -> Column:
+    """ln of the normal distribution's upper tail at z (Boerjesson and Sundberg,
+    1979; within 0.3 %)."""
+    x = F.abs(z)
+    tail = -x * x / 2 - F.log((x * 0.661 + F.sqrt(x * x + 5.51) * 0.339) * 2.5066282746310002)
+    return F.when(z >= 0, tail).otherwise(F.log1p(-F.exp(tail)))
+
+
+def _verdict(z: Column) -> Column:
+    two_sided = lambda c: F.least(log_tail(F.abs(z[c])) + 0.6931471805599453, F.lit(0.0))
+    half = -(two_sided("even") + two_sided("runs") + two_sided("serial"))  # half of Fisher's statistic
+    random = F.exp(-half) * (1 + half + half * half / 2)  # chi-squared with six degrees
+    a, b, c = WEIGHTS
+    together = (z["natural"] * a + z["runs"] * b + z["serial"] * c) / (a * a + b * b + c * c) ** 0.5
+    step = F.floor(-log_tail(-together) / F.log(F.lit(10.0)) * STEPS)
+    return F.when(z.isNotNull() & (random >= TEST_LEVEL), F.least(step, F.lit(LAST_STEP))).otherwise(0).cast("int")
 
 
 def discovery_step(steps: DataFrame, level: float = FALSE_DISCOVERIES) -> int:
@@ -144,7 +212,8 @@ def find_secrets(docs: DataFrame, level: float = FALSE_DISCOVERIES) -> DataFrame
     base = F.concat(_spans(text, ASSIGN, 0, 2, MIN_ASSIGNED), _spans(text, ACCESS, 1), _spans(text, HEX, 2))
     clear = lambda s, base: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
     mixed = lambda s: token(s).rlike("[0-9]") & token(s).rlike("[A-Za-z]")
-    scored = lambda s: F.struct(s.alias("span"), let(token(s), randomness_step).alias("step"))
+    natural = natural_moments(d)
+    scored = lambda s: F.struct(s.alias("span"), let(token(s), lambda t: randomness_step(t, natural)).alias("step"))
     candidates = F.filter(_spans(text, CANDIDATE, 3), mixed)
     both = let(base, lambda b: F.struct(b.alias("base"), F.transform(F.filter(candidates, lambda s: clear(s, b)), scored).alias("tokens")))
     d = d.select("doc_id", both.alias("f")).select("doc_id", "f.base", "f.tokens")
