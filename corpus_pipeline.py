@@ -18,7 +18,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; the trusted target are those
     labelled as of good quality."""
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
-    return op3_quality.quality_rules(docs, trusted).where("kept").select(*docs.columns)
+    return op3_quality.verdicts(docs, trusted).where("__quality.kept").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
