@@ -10,6 +10,13 @@ TOKEN = r"[a-z0-9][a-z0-9._-]*"
 WEEKDAYS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body uses it, and
+    also inside lambdas (a projection that is merged into its consumer would be
+    computed at each use)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle distance."""
     half = lambda a, b: F.sin(F.radians(b - a) / 2)
@@ -54,8 +61,12 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), same / (F.size(a) + F.size(b) - same)).otherwise(F.lit(0.0))
 
 
+#: Types whose values are the same in either case.
+LOWER_CASE = ("email", "url", "sha256")
+
+
 def norm_value(kind: Column, value: Column) -> Column:
-    return F.when(kind.isin("email", "url", "sha256"), F.lower(value)).otherwise(value)
+    return F.when(kind.isin(*LOWER_CASE), F.lower(value)).otherwise(value)
 
 
 def tokenize(text: Column) -> Column:

@@ -16,6 +16,8 @@ from weftline.operators.components import components
 # fixed values: attributes that identify
 IDENTIFIERS = ("emitter_id", "track_id", "imo", "mmsi", "callsign", "hull", "tail")
 NAME_THRESHOLD = 0.6
+#: Letters by which a name that another holds is looked for.
+GRAM = 3
 
 
 def identifier_rows(o: DataFrame) -> DataFrame:
@@ -34,15 +36,19 @@ def similar_names(names: DataFrame, threshold: float = NAME_THRESHOLD) -> DataFr
     """etype, a, b: pairs a < b of different names of a type of which one holds
     the other, or whose tokens' Jaccard similarity is high enough.
 
-    Both joins are on keys.  A name that is held has its first three letters
-    somewhere in the other; similar names share one of their rarest tokens, as
-    many as may be missing and one more.
+    Both joins are on keys.  A name that is held has its rarest three letters
+    somewhere in the other (all of it, if it is shorter); similar names share
+    one of their rarest tokens, as many as may be missing and one more.
     """
     n = names.select("etype", "name").where("name <> ''").distinct()
-    grams = lambda size: F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - size + 1, F.lit(1))), lambda i: F.substring(F.col("name"), i, F.lit(size)))
-    inner = n.select("etype", F.col("name").alias("x"), F.substring("name", 1, 3).alias("gram"))
-    outer = n.select("etype", F.col("name").alias("y"), F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))).alias("gram"))
-    held = inner.join(outer, ["etype", "gram"]).where((F.col("x") != F.col("y")) & F.col("y").contains(F.col("x"))).select("etype", "x", "y")
+    grams = lambda size: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - size + 1, F.lit(1))), lambda i: F.substring(F.col("name"), i, F.lit(size))))
+    three = n.where(F.length("name") >= GRAM).select("etype", "name", F.explode(grams(GRAM)).alias("gram"))
+    held_by = three.groupBy("etype", "gram").agg(F.count("*").alias("df"))
+    rarest = three.join(held_by, ["etype", "gram"]).groupBy("etype", "name").agg(F.min(F.struct("df", "gram")).alias("r")).select("etype", F.col("name").alias("x"), "r.gram")
+    short = n.where(F.length("name") < GRAM).select("etype", F.col("name").alias("x"), F.col("name").alias("gram"))
+    tiny = n.select("etype", "name", F.explode(F.concat(grams(1), grams(2))).alias("gram"))
+    inner = rarest.join(three.select("etype", F.col("name").alias("y"), "gram"), ["etype", "gram"]).union(short.join(tiny.select("etype", F.col("name").alias("y"), "gram"), ["etype", "gram"]).select("etype", "gram", "x", "y"))
+    held = inner.where((F.col("x") != F.col("y")) & F.col("y").contains(F.col("x"))).select("etype", "x", "y")
     t = n.withColumn("tokens", name_tokens(F.col("name")))
     each = t.select("etype", "name", "tokens", F.explode("tokens").alias("token"))
     common = each.groupBy("etype", "token").agg(F.count("*").alias("df"))

@@ -5,10 +5,14 @@ timestamp text."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.scalars import haversine_km, hours_between, parse_ts, utc_hour, utc_weekday
+from weftline.functions.scalars import EARTH_RADIUS_KM, haversine_km, hours_between, parse_ts, utc_hour, utc_weekday
 
 # fixed values
 SPEED_SIGMA = 2.5
@@ -54,39 +58,63 @@ def peak_hours(hours: DataFrame, key: str = "root", top: int = 4) -> DataFrame:
     return best.groupBy(key).agg(F.array_sort(F.collect_list("hour")).alias("peak_hours"))
 
 
+def _areas(batches: Iterator[pa.RecordBatch], radius_km: float) -> Iterator[pa.RecordBatch]:
+    """Points by key and in order to clusters.  Only the running centres of one
+    key are held, whatever its number of points."""
+    key, centres = None, []
+
+    def told() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key] * len(centres)), pa.array([c[0] for c in centres]), pa.array([c[1] for c in centres]), pa.array([c[2] for c in centres], pa.int32())], names=["key", "lat", "lon", "n"])
+
+    for batch in batches:
+        for k, lat, lon in zip(*(batch[c].to_pylist() for c in ("key", "lat", "lon"))):
+            if k != key:
+                if centres:
+                    yield told()
+                key, centres = k, []
+            for c in centres:
+                if _km(c[0], c[1], lat, lon) <= radius_km:
+                    c[2] += 1
+                    c[0], c[1] = c[0] + (lat - c[0]) / c[2], c[1] + (lon - c[1]) / c[2]
+                    break
+            else:
+                centres.append([lat, lon, 1])
+    if centres:
+        yield told()
+
+
+def _km(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
+    x, y = math.sin(math.radians(lat2 - lat1) / 2), math.sin(math.radians(lon2 - lon1) / 2)
+    return 2 * EARTH_RADIUS_KM * math.asin(min(1.0, math.sqrt(x * x + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * y * y)))
+
+
 def dwell_areas(points: DataFrame, key: str = "root", radius_km: float = DWELL_RADIUS_KM) -> DataFrame:
     """key, lat, lon, n: leader clusters of a track's points in their order.
 
     A point joins the first cluster whose running centre is near enough, or
     opens one; the outcome depends on the order, so it is a fold over the
-    entity's sorted points.
+    entity's points, which Spark sorts (and spills) and a task takes as a
+    stream.
     """
-    ordered = points.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "lat", "lon"))).alias("pts"))
-    none = F.expr("cast(array() as array<struct<lat: double, lon: double, n: int>>)")
-
-    def add(acc, p):
-        near = F.transform(acc, lambda c: haversine_km(c["lat"], c["lon"], p["lat"], p["lon"]) <= radius_km)
-        at = F.array_position(near, True)  # 0 if none
-        new = F.array(F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"), F.lit(1).alias("n")))
-
-        def moved(c, i):
-            n = c["n"] + 1
-            mean = F.struct((c["lat"] + (p["lat"] - c["lat"]) / n).alias("lat"), (c["lon"] + (p["lon"] - c["lon"]) / n).alias("lon"), n.alias("n"))
-            return F.when(i + 1 == at, mean).otherwise(c)
+    ordered = points.select(F.col(key).cast("string").alias("key"), "seq", "lat", "lon").repartition("key").sortWithinPartitions("key", "seq").drop("seq")
+    found = ordered.mapInArrow(lambda batches: _areas(batches, radius_km), "key string, lat double, lon double, n int")
+    return found.select(F.col("key").cast(dict(points.dtypes)[key]).alias(key), F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"), "n")
 
-        return F.when(at == 0, F.concat(acc, new)).otherwise(F.transform(acc, moved))
 
-    found = ordered.select(key, F.explode(F.aggregate("pts", none, add)).alias("c"))
-    return found.select(key, F.round("c.lat", 5).alias("lat"), F.round("c.lon", 5).alias("lon"), F.col("c.n").alias("n"))
+def _upper_median(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """key, name, n: the upper median by key, from ranks, so that no key's values
+    are put together."""
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(value))).withColumn("n", F.count("*").over(Window.partitionBy(key)))
+    return ranked.where(F.col("rank") == F.floor(F.col("n") / 2) + 1).select(key, F.col(value).alias(name), "n")
 
 
 def speed_anomalies(legs: DataFrame, key: str = "root", sigma: float = SPEED_SIGMA) -> DataFrame:
     """Legs faster than the upper median by sigma spreads (1.4826 MAD, or half
     the median and 1 at least where that is nothing); three speeds at least."""
-    upper = lambda values: F.element_at(F.array_sort(values), (F.floor(F.size(values) / 2) + 1).cast("int"))
-    g = legs.where("kmh is not null").groupBy(key).agg(F.collect_list("kmh").alias("v")).where(F.size("v") >= 3)
-    g = g.withColumn("median", upper(F.col("v")))
-    g = g.withColumn("mad", upper(F.transform("v", lambda x: F.abs(x - F.col("median")))))
+    moving = legs.where("kmh is not null")
+    middle = _upper_median(moving.select(key, "kmh"), key, "kmh", "median").where("n >= 3").drop("n")
+    apart = moving.join(middle, key).select(key, "median", F.abs(F.col("kmh") - F.col("median")).alias("off"))
+    g = middle.join(_upper_median(apart, key, "off", "mad").drop("n"), key)
     spread = F.when(F.col("mad") <= 1e-6, F.greatest(0.5 * F.col("median"), F.lit(1.0))).otherwise(1.4826 * F.col("mad"))
     g = g.select(key, "median", "mad", (F.col("median") + sigma * spread).alias("ceiling"))
     return legs.join(g, key).where(F.col("kmh") > F.col("ceiling")).select(key, "seq", "timestamp", "kmh", F.round("median", 2).alias("median"), F.round("ceiling", 2).alias("ceiling"))
