@@ -201,11 +201,13 @@ nm as (select distinct etype, name, 'n:' || etype || ':' || name as k, list_dist
 pairs as (select a.k as x, b.k as y from nm a join nm b on a.etype = b.etype and a.name < b.name where contains(a.name, b.name) or contains(b.name, a.name) or len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))::double >= 0.6
   union select distinct 'n:' || etype || ':' || name, 'i:' || emitter_id from named where emitter_id is not null),
 edges2 as (select x, y from pairs union select y, x from pairs), ks as (select k from nm union select y from pairs),
-reach as (with recursive r(k, o) as (select k, k from ks union select e.y, r.o from r join edges2 e on e.x = r.k) select o, min(k) as comp from r group by o),
+reach as materialized (with recursive cc(k, comp) using key (k) as (
+  select k, k as comp from ks
+  union
+  select e.x, min(cc.comp) as comp from cc join edges2 e on e.y = cc.k join recurring.cc as own on own.k = e.x where cc.comp < own.comp group by e.x)
+  select k as o, comp from cc),
 ec as (select n.id, min(n.id) over (partition by reach.comp) as root from named n join reach on reach.o = 'n:' || n.etype || ':' || n.name),
 eo as (select obs.*, root from obs join ec using (id))"""
-# a table rather than a view for what recursion gives: it is used several times
-_ENT_SQL = _ENT_SQL.replace("reach as (", "reach as materialized (")
 
 
 @query(f"with {_ENT_SQL} select id, root from ec")
@@ -213,11 +215,14 @@ def entity_clusters(spark, sf_dir):
     return _fusion(spark, sf_dir).clusters
 
 
-@query(f"""with {_ENT_SQL}, nn as (select root, entity, count(*) as n from eo group by 1, 2), best as (select root, arg_min(entity, (-n, -length(entity), entity)) as canonical, list_sort(list(entity)) as names from nn group by root)
-select root, any_value(canonical) as canonical, max(entity_type) filter (id = root) as etype, array_to_string(list_filter(any_value(names), x -> x <> any_value(canonical)), '|') as aliases,
+_ENTITIES_SQL = """nn as (select root, entity, count(*) as n from eo group by 1, 2), best as (select root, arg_min(entity, (-n, -length(entity), entity)) as canonical, list_sort(list(entity)) as names from nn group by root),
+ent as (select root, any_value(canonical) as canonical, max(entity_type) filter (id = root) as etype, any_value(array_to_string(list_filter(names, lambda x: x <> canonical), '|')) as aliases,
   md5(string_agg(id, '|' order by timestamp, id)) as observations, array_to_string(list_sort(list(distinct discipline)), '|') as disciplines, array_to_string(list_sort(list(distinct source)), '|') as sources,
-  arg_max(emitter_id, (timestamp, id)) filter (emitter_id is not null) as emitter_id, count(*) as n_obs
-from eo join best using (root) group by root""".replace("list_filter(any_value(names), x -> x <> any_value(canonical))", "list_filter(any_value(names), lambda x: x <> any_value(canonical))").replace("array_to_string(list_filter(any_value(names), lambda x: x <> any_value(canonical)), '|') as aliases", "any_value(array_to_string(list_filter(names, lambda x: x <> canonical), '|')) as aliases"))
+  arg_max(emitter_id, (timestamp, id)) filter (emitter_id is not null) as emitter_id, count(*) as n_obs, count(distinct discipline) as n_disciplines
+from eo join best using (root) group by root)"""
+
+
+@query(f"with {_ENT_SQL}, {_ENTITIES_SQL} select * exclude (n_disciplines) from ent")
 def resolved_entities(spark, sf_dir):
     e = _fusion(spark, sf_dir).entities
     return e.select("root", "canonical", "etype", _join("aliases"), F.md5(F.array_join("observation_ids", "|")).alias("observations"), _join("disciplines"), _join("sources"), F.col("identifiers")["emitter_id"].alias("emitter_id"), "n_obs")
@@ -242,11 +247,14 @@ _WEIGHT = "case reliability when 'A' then 1.0 when 'B' then 0.8 when 'C' then 0.
 _NEAR = T.haversine_sql("a.", "b.")
 
 
-@query(f"""with {_ENT_SQL}, g60 as (select root, lat, lon, rn from (select *, row_number() over (partition by root order by timestamp, id) as rn from eo where lat is not null and lon is not null) where rn <= 60),
+_SCORES_SQL = f"""g60 as (select root, lat, lon, rn from (select *, row_number() over (partition by root order by timestamp, id) as rn from eo where lat is not null and lon is not null) where rn <= 60),
 co as (select a.root, avg(case when {_NEAR} <= 25 then 1.0 else 0.0 end) as co from g60 a join g60 b on a.root = b.root and a.rn < b.rn group by 1),
 s as (select eo.root, count(distinct discipline) as d, count(distinct source) as n, avg(round(sqrt({_WEIGHT}), 4)) as mc from eo group by 1),
-f as (select s.*, coalesce(co, 0) as co, round(0.45 * (1 - pow(0.6, d)) + 0.25 * (1 - pow(0.7, n)) + 0.2 * mc + 0.1 * coalesce(co, 0), 4) as score from s left join co using (root))
-select root, d as n_disciplines, n as n_sources, round(mc, 4) as mean_confidence, round(co, 4) as colocation, round(score, 3) as score, case when n <= 1 and d <= 1 then 'single-source' when score >= 0.72 then 'strong' when score >= 0.45 then 'moderate' else 'weak' end as band from f""")
+f as (select s.*, coalesce(co, 0) as co, round(0.45 * (1 - pow(0.6, d)) + 0.25 * (1 - pow(0.7, n)) + 0.2 * mc + 0.1 * coalesce(co, 0), 4) as score from s left join co using (root)),
+scores as (select root, d as n_disciplines, n as n_sources, round(mc, 4) as mean_confidence, round(co, 4) as colocation, round(score, 3) as score, case when n <= 1 and d <= 1 then 'single-source' when score >= 0.72 then 'strong' when score >= 0.45 then 'moderate' else 'weak' end as band from f)"""
+
+
+@query(f"with {_ENT_SQL}, {_SCORES_SQL} select * from scores")
 def corroboration(spark, sf_dir):
     c = corroborate.corroboration(_fusion(spark, sf_dir).entity_obs)
     return c.select("root", "n_disciplines", "n_sources", F.round("mean_confidence", 4).alias("mean_confidence"), F.round("colocation", 4).alias("colocation"), F.round("score", 3).alias("score"), "band")
@@ -255,14 +263,20 @@ def corroboration(spark, sf_dir):
 _HOURS = "epoch_us({}) - epoch_us({})"
 
 
-@query(f"""with {_ENT_SQL}, p as (select root, id, ts, lat, lon, lead(id) over w as id2, lead(ts) over w as ts2, lead(lat) over w as lat2, lead(lon) over w as lon2 from eo where lat is not null and lon is not null window w as (partition by root order by timestamp, id)),
-d as (select root, id, id2, {T.haversine_sql('a.', 'b.').replace('b.lat', 'lat2').replace('b.lon', 'lon2').replace('a.lat', 'lat').replace('a.lon', 'lon')} as km, abs(epoch_us(ts2) - epoch_us(ts)) / 3.6e9 as h from p where id2 is not null)
-select root, id as from_id, id2 as to_id, round(km, 3) as km, round(h, 4) as hours from d where (h >= 1e-6 and km / h > 1200) or (h < 1e-6 and km > 1)""")
+_SPATIAL_SQL = f"""p as (select root, id, ts, lat, lon, lead(id) over w as id2, lead(ts) over w as ts2, lead(lat) over w as lat2, lead(lon) over w as lon2 from eo where lat is not null and lon is not null window w as (partition by root order by timestamp, id)),
+d as (select root, id, id2, {T.haversine_sql('a.', 'b.').replace('b.lat', 'lat2').replace('b.lon', 'lon2').replace('a.lat', 'lat').replace('a.lon', 'lon')} as km, abs(epoch_us(ts2) - epoch_us(ts)) / 3.6e9 as h from p where id2 is not null),
+spatial as (select root, id as from_id, id2 as to_id, round(km, 3) as km, round(h, 4) as hours from d where (h >= 1e-6 and km / h > 1200) or (h < 1e-6 and km > 1))"""
+
+
+@query(f"with {_ENT_SQL}, {_SPATIAL_SQL} select * from spatial")
 def spatial_contradictions(spark, sf_dir):
     return _fusion(spark, sf_dir).spatial_contradictions.select("root", "from_id", "to_id", "km", "hours")
 
 
-@query(f"with {_ENT_SQL}, v as (select root, 'entity_type' as attribute, lower(entity_type) as v from eo union select root, 'status', lower(status) from eo where status is not null) select root, attribute, string_agg(v, '|' order by v) as found from v group by 1, 2 having count(*) > 1")
+_ATTRIBUTES_SQL = "v as (select root, 'entity_type' as attribute, lower(entity_type) as v from eo union select root, 'status', lower(status) from eo where status is not null), attrs as (select root, attribute, string_agg(v, '|' order by v) as found from v group by 1, 2 having count(*) > 1)"
+
+
+@query(f"with {_ENT_SQL}, {_ATTRIBUTES_SQL} select * from attrs")
 def attribute_conflicts(spark, sf_dir):
     return _fusion(spark, sf_dir).attribute_conflicts.select("root", "attribute", _join("found"))
 
@@ -282,7 +296,17 @@ def track_summary(spark, sf_dir):
     return _fusion(spark, sf_dir).tracks
 
 
-@query()
+_DWELL_SQL = f"""areas as (with recursive d(root, seq, cs) as (
+  select root, seq, [{{'lat': lat, 'lon': lon, 'n': 1}}] from pts where seq = 0
+  union all
+  select root, seq, case when spot = 0 then list_append(cs, {{'lat': lat, 'lon': lon, 'n': 1}})
+    else list_transform(cs, lambda c, i: case when i = spot then {{'lat': c.lat + (lat - c.lat) / (c.n + 1), 'lon': c.lon + (lon - c.lon) / (c.n + 1), 'n': c.n + 1}} else c end) end
+  from (select d.root, p.seq, d.cs, p.lat, p.lon, coalesce(list_position(list_transform(d.cs, lambda c: {T.haversine_sql('c.', 'p.')} <= 5), true), 0) as spot from d join pts p on p.root = d.root and p.seq = d.seq + 1)),
+  ends as (select root, arg_max(cs, seq) as cs from d group by root)
+  select root, round(c.lat, 5) as lat, round(c.lon, 5) as lon, c.n::int as n from (select root, unnest(cs) as c from ends))"""
+
+
+@query(f"with {_ENT_SQL}, {_LEGS_SQL}, {_DWELL_SQL} select * from areas")
 def dwell_areas(spark, sf_dir):
     return _fusion(spark, sf_dir).dwell_areas
 
@@ -302,31 +326,40 @@ def peak_hours(spark, sf_dir):
     return tracks.peak_hours(tracks.hour_histogram(_fusion(spark, sf_dir).entity_obs)).select("root", F.array_join(F.transform("peak_hours", lambda h: h.cast("string")), "|").alias("peak_hours"))
 
 
-@query(f"""with {_ENT_SQL}, {_LEGS_SQL}, m as (select root, list_sort(list(kmh))[(floor(count(*) / 2) + 1)::bigint] as med from legs where kmh is not null group by 1 having count(*) >= 3),
-s as (select root, med, list_sort(list(abs(kmh - med)))[(floor(count(*) / 2) + 1)::bigint] as mad from legs join m using (root) where kmh is not null group by 1, 2),
-c as (select root, med, med + 2.5 * case when mad <= 1e-6 then greatest(0.5 * med, 1.0) else 1.4826 * mad end as ceiling from s)
-select root, seq::int as seq, kmh, round(med, 2) as median, round(ceiling, 2) as ceiling from legs join c using (root) where kmh > ceiling""")
+_SPEED_SQL = """m as (select root, list_sort(list(kmh))[(floor(count(*) / 2) + 1)::bigint] as med from legs where kmh is not null group by 1 having count(*) >= 3),
+md as (select root, med, list_sort(list(abs(kmh - med)))[(floor(count(*) / 2) + 1)::bigint] as mad from legs join m using (root) where kmh is not null group by 1, 2),
+c as (select root, med, med + 2.5 * case when mad <= 1e-6 then greatest(0.5 * med, 1.0) else 1.4826 * mad end as ceiling from md),
+speed as (select root, seq::int as seq, kmh, round(med, 2) as median, round(ceiling, 2) as ceiling from legs join c using (root) where kmh > ceiling)"""
+
+
+@query(f"with {_ENT_SQL}, {_LEGS_SQL}, {_SPEED_SQL} select * from speed")
 def speed_anomalies(spark, sf_dir):
     return tracks.speed_anomalies(_fusion(spark, sf_dir).legs).select("root", "seq", "kmh", "median", "ceiling")
 
 
-@query(f"with {_ENT_SQL}, c as (select root, id, hour(ts)::int as hour, count(*) over (partition by root) as n_obs, count(*) over (partition by root, hour(ts)) as nh from eo) select root, id, hour, n_obs from c where nh = 1 and n_obs >= 5")
+_HOURS_SQL = "hc as (select root, id, hour(ts)::int as hour, count(*) over (partition by root) as n_obs, count(*) over (partition by root, hour(ts)) as nh from eo), hours as (select root, id, hour, n_obs from hc where nh = 1 and n_obs >= 5)"
+
+
+@query(f"with {_ENT_SQL}, {_HOURS_SQL} select * from hours")
 def off_pattern_hours(spark, sf_dir):
     return tracks.off_pattern_hours(_fusion(spark, sf_dir).entity_obs)
 
 
-@query()
+_PLACES_SQL = f"places as (select root, id, round(km, 1) as km from (select p.root, p.id, min({T.haversine_sql('p.', 'a.')}) as km from pts p join areas a on a.root = p.root and a.n >= 2 group by 1, 2) where km > 50)"
+
+
+@query(f"with {_ENT_SQL}, {_LEGS_SQL}, {_DWELL_SQL}, {_PLACES_SQL} select * from places")
 def off_pattern_locations(spark, sf_dir):
     f = _fusion(spark, sf_dir)
     return tracks.off_pattern_locations(f.points, f.dwell_areas)
 
 
-@query(f"""with {T.OBSERVATIONS_SQL}, a as (select lower(entity) as entity, string_agg(distinct discipline, '|' order by discipline) as was from obs where entity <> '' and timestamp < '2024-01-04' group by 1),
-b as (select lower(entity) as entity, string_agg(distinct discipline, '|' order by discipline) as now from obs where entity <> '' and timestamp >= '2024-01-28' group by 1)
+@query(f"""with {T.OBSERVATIONS_SQL}, a as (select lower(entity) as entity, string_agg(distinct discipline, '|' order by discipline) as was from obs where entity <> '' and timestamp < '2024-01-16' group by 1),
+b as (select lower(entity) as entity, string_agg(distinct discipline, '|' order by discipline) as now from obs where entity <> '' and timestamp >= '2024-01-16' group by 1)
 select entity, case when was is null then 'appeared' when now is null then 'disappeared' else 'coverage-changed' end as change, was, now from a full join b using (entity) where was is distinct from now""")
 def change_detection(spark, sf_dir):
     o = T.observations(spark, sf_dir)
-    c = tracks.detect_change(o.where("timestamp < '2024-01-04'"), o.where("timestamp >= '2024-01-28'"))
+    c = tracks.detect_change(o.where("timestamp < '2024-01-16'"), o.where("timestamp >= '2024-01-16'"))
     return c.select("entity", "change", F.array_join("was", "|").alias("was"), F.array_join("now", "|").alias("now"))
 
 
@@ -354,13 +387,30 @@ def fusion_timeline(spark, sf_dir):
     return _fusion(spark, sf_dir).timeline
 
 
-@query()
-def dossiers(spark, sf_dir):
-    d = _fusion(spark, sf_dir).dossiers()
-    return d.select("root", "entity_id", "canonical", "etype", "n_obs", "score", "band", "point_count", F.to_json("anomalies").alias("anomalies"), F.to_json("zone_alerts").alias("zone_alerts"))
+_ALL_SQL = f"""{_ENT_SQL}, {_ENTITIES_SQL}, {_SCORES_SQL}, {_SPATIAL_SQL}, {_ATTRIBUTES_SQL}, {_LEGS_SQL}, {_DWELL_SQL}, {_SPEED_SQL}, {_HOURS_SQL}, {_PLACES_SQL}, {_ALERTS_SQL},
+anomalies as (select 'speed' as kind, root, seq::varchar as mark from speed union all select 'off-pattern-hour', root, id from hours union all select 'off-pattern-location', root, id from places)"""
 
 
-@query()
+@query(f"""with {_ALL_SQL}, n as (select root, string_agg(kind || ' ' || mark, '|' order by kind, mark) as anomalies from anomalies group by 1),
+z as (select root, string_agg(zone || ' ' || status || ' ' || observation_id || ' ' || severity, '|' order by zone, status, observation_id) as zone_alerts from alerts join ent on lower(ent.canonical) = lower(alerts.entity) group by 1),
+t as (select root, count(*) as point_count from pts group by 1 having count(*) >= 2),
+ac as (select root, string_agg(attribute || ' ' || found, ';' order by attribute) as attribute_conflicts from attrs group by 1), sc as (select root, count(*) as contradictions from spatial group by 1)
+select root, 'ent--' || substr(sha256(etype || ':' || {_NORM.format('canonical')}), 1, 12) as entity_id, canonical, etype, n_obs, score, band, point_count, anomalies, zone_alerts, attribute_conflicts, contradictions
+from ent join scores using (root) left join t using (root) left join n using (root) left join z using (root) left join ac using (root) left join sc using (root)""")
+def dossiers(spark, sf_dir):
+    d = _fusion(spark, sf_dir).dossiers()
+    told = lambda c, f, by="|": F.array_join(F.transform(c, f), by).alias(c)
+    return d.select(
+        "root", "entity_id", "canonical", "etype", "n_obs", F.round("score", 3).alias("score"), "band", "point_count",
+        told("anomalies", lambda x: F.concat_ws(" ", x["kind"], x["at"])), told("zone_alerts", lambda x: F.concat_ws(" ", x["zone"], x["status"], x["observation_id"], x["severity"])),
+        told("attribute_conflicts", lambda x: F.concat(x["attribute"], F.lit(" "), F.array_join(x["found"], "|")), ";"), F.nullif(F.coalesce(F.size("contradictions"), F.lit(0)), F.lit(-1)).alias("contradictions"),
+    ).withColumn("contradictions", F.when(F.col("contradictions") > 0, F.col("contradictions").cast("long")))
+
+
+@query(f"""with {_ALL_SQL}, flags as (select {_NORM.format('canonical')} as name from ent group by 1 having count(*) > 1 and count(distinct etype) > 1 union all select emitter_id from ent where emitter_id is not null group by 1 having count(*) > 1)
+select (select count(*) from obs) as observations, (select count(distinct discipline) from obs) as disciplines, (select count(distinct source) from obs) as sources, (select count(*) from ent) as entities,
+  (select count(*) from (select root from pts group by 1 having count(*) >= 2)) as tracks, (select count(*) from anomalies) as anomalies, (select count(*) from alerts) as zone_alerts, (select count(*) from flags) as deconfliction_flags,
+  (select count(*) from spatial) + (select count(*) from attrs) as contradictions""")
 def fusion_counts(spark, sf_dir):
     return _fusion(spark, sf_dir).counts
 
@@ -371,15 +421,20 @@ def fusion_stix_objects(spark, sf_dir):
     return sinks.fusion_stix(f.observations, f.entities).groupBy("type").agg(F.countDistinct("id").alias("n"))
 
 
-@query(f"with {T.OBSERVATIONS_SQL} select id, discipline, source, timestamp, entity, entity_type, coalesce(lat::varchar, '') <> '' as has_lat, reliability, credibility, text from obs")
+@query(f"with {T.OBSERVATIONS_SQL} select id, discipline, source, timestamp, entity, entity_type, lat, lon, reliability, credibility, text from obs")
 def observation_csv(spark, sf_dir):
-    return sinks.observation_csv(T.observations(spark, sf_dir)).withColumn("has_lat", F.col("lat") != "").drop("lat", "lon")
+    c = sinks.observation_csv(T.observations(spark, sf_dir))
+    return c.withColumns({x: F.nullif(x, F.lit("")).cast("double") for x in ("lat", "lon")})
 
 
-@query("select p_partkey as id, p_name as label, case when lower(p_name || ' ' || p_type) like '%st%' or regexp_matches(lower(p_name || ' ' || p_type), 'suspect|hostile-report|illicit|smuggl') then 'unknown' else 'unknown' end as affiliation from part")
+@query("""with p as (select p_partkey as id, p_name || case p_partkey % 9 when 0 then ' Smuggler craft' else '' end as label, case p_partkey % 7 when 0 then 'reported SUSPECT hull' when 1 then 'illicit-run' when 2 then 'hostile' else p_type end as alias, p_type as entity_type from part)
+select id, label, entity_type, alias as aliases, 'OSINT' as disciplines, case when regexp_matches(lower(alias || ' ' || label), 'suspect|hostile-report|illicit|smuggl') then 'suspect' else 'unknown' end as affiliation from p""")
 def symbol_agnostic(spark, sf_dir):
-    p = T.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("canonical"), F.col("p_type").alias("etype"), F.array("p_type").alias("aliases"), F.array(F.lit("OSINT")).alias("disciplines"), F.expr("cast(map() as map<string,string>)").alias("identifiers"))
-    return sinks.symbol_agnostic(p).select("id", "label", "affiliation")
+    k = F.col("p_partkey")
+    alias = F.when(k % 7 == 0, "reported SUSPECT hull").when(k % 7 == 1, "illicit-run").when(k % 7 == 2, "hostile").otherwise(F.col("p_type"))
+    label = F.concat("p_name", F.when(k % 9 == 0, " Smuggler craft").otherwise(""))
+    p = T.table(spark, sf_dir, "part").select(k.alias("entity_id"), label.alias("canonical"), F.col("p_type").alias("etype"), F.array(alias).alias("aliases"), F.array(F.lit("OSINT")).alias("disciplines"), F.expr("cast(map() as map<string,string>)").alias("identifiers"))
+    return sinks.symbol_agnostic(p).select("id", "label", "entity_type", _join("aliases"), _join("disciplines"), "affiliation")
 
 
 @query("""with p as (select s_suppkey as id, (s_nationkey * 3 % 50)::double as lat, (s_nationkey * 7 % 90)::double as lon from supplier), e as (select min(lat) as a, max(lat) as b, min(lon) as c, max(lon) as d from p)
