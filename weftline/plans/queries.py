@@ -46,12 +46,13 @@ def feed_catalog_stats(spark, sf_dir):
     return feeds.catalog_stats(spark)
 
 
-@query("select event_type as source, count(*) as reports, count(distinct value) as ids from events group by event_type")
+@query("select event_type || '-' || substr(sha1(event_id::varchar), 1, 10) as id, strftime(ts, '%Y-%m-%d') as timestamp, event_type as source, 'unit ' || user_id || ' (example.com)' as text from events")
 def feed_reports(spark, sf_dir):
     """Events as JSON payloads of one feed per type, read by its adapter."""
-    item = F.struct(F.col("event_id").cast("string").alias("url"), F.col("event_type").alias("title"), F.lit("example.com").alias("domain"), F.col("value").cast("string").alias("seendate"))
+    day = F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd")
+    item = F.struct(F.col("event_id").cast("string").alias("url"), F.concat(F.lit(" unit  "), "user_id").alias("title"), F.lit("example.com").alias("domain"), day.alias("seendate"))
     e = T.table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.to_json(F.struct(F.array(item).alias("articles"))).alias("content"), F.lit("gdelt").alias("adapter"), F.lit(0).alias("feed_ord"))
-    return feeds.payload_reports(e).groupBy("source").agg(F.count("*").alias("reports"), F.countDistinct("timestamp").alias("ids"))
+    return feeds.payload_reports(e).select("id", "timestamp", "source", "text")
 
 
 @query(f"""with {T.OBSERVATIONS_SQL}, bad as (select id,
@@ -93,6 +94,15 @@ def name_similarity_pairs(spark, sf_dir):
     return n.join(other, "k").select(F.col("k").alias("a"), "b", F.round(scalars.jaccard(F.col("t"), F.col("u")), 6).alias("similarity"))
 
 
+@query("""with n as (select name, list_distinct(string_split(name, ' ')) as t from (select distinct lower(p_name || ' ' || p_type || case when p_partkey % 3 = 0 then ' x' || p_size else '' end) as name from part))
+select 'part' as etype, a.name as a, b.name as b from n a join n b on a.name < b.name
+where contains(a.name, b.name) or contains(b.name, a.name) or len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))::double >= 0.6""")
+def similar_names(spark, sf_dir):
+    """All similar pairs of part names."""
+    mark = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" x"), "p_size")).otherwise("")
+    return entities.similar_names(T.table(spark, sf_dir, "part").select(F.lit("part").alias("etype"), F.lower(F.concat("p_name", F.lit(" "), "p_type", mark)).alias("name")))
+
+
 @query(f"with {T.REPORTS_SQL}, w as (select source, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9._-]*')) as term from reports) select source, count(*) as tokens, count(distinct term) as terms from w group by source")
 def token_counts(spark, sf_dir):
     w = T.reports(spark, sf_dir).select("source", F.explode(scalars.tokenize(F.col("text"))).alias("term"))
@@ -115,13 +125,18 @@ def extract_indicators(spark, sf_dir):
     return extract.extract_indicators(T.reports(spark, sf_dir)).groupBy("type", "value", "source_ref").agg(F.count("*").alias("n"))
 
 
-@query("select id as source_ref, type, substr(text, s::int + 1, 10) as head, s as start from (select 'd' || doc_id as id, text, 'ipv4' as type, instr(text, m) - 1 as s from (select doc_id, text, regexp_extract(text, '" + _RX["ipv4"] + "') as m from documents) where m <> '')")
-def first_indicator_position(spark, sf_dir):
-    """Where the first address of a document is, in code points."""
-    m = extract.extract_indicators(T.reports(spark, sf_dir).where("id like 'd%'")).where("type = 'ipv4'")
-    first = m.groupBy("source_ref").agg(F.min("start").cast("long").alias("start"), F.first("type").alias("type"))
-    d = T.reports(spark, sf_dir).select(F.col("id").alias("source_ref"), "text")
-    return first.join(d, "source_ref").select("source_ref", "type", F.expr("substr(text, int(start) + 1, 10)").alias("head"), "start")
+_PLACED_SQL = " union all ".join(
+    f"select id, '{k}' as type, string_split_regex(text, '{rx}') as gaps, regexp_extract_all(text, '{rx}') as found from linked where regexp_matches(text, '{rx}')" for k, rx in _RX.items()
+)
+_AT = "list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i-1], lambda x: length(x))), 0)"
+
+
+@query(f"with {T.LINKED_SQL}, f as (select *, unnest(range(1, len(found) + 1)) as i from ({_PLACED_SQL})) select id as source_ref, type, found[i] as raw, ({_AT})::int as start from f")
+def indicator_positions(spark, sf_dir):
+    """Where every indicator of every type is, in code points, as cut from the text."""
+    m = extract.extract_indicators(T.linked_reports(spark, sf_dir))
+    d = T.linked_reports(spark, sf_dir).select(F.col("id").alias("source_ref"), "text")
+    return m.join(d, "source_ref").select("source_ref", "type", F.expr("substr(text, start + 1, end - start)").alias("raw"), "start")
 
 
 _TERMS = extract.gazetteer_terms(T.GAZETTEER)
@@ -161,12 +176,22 @@ def correlate_entity(spark, sf_dir):
     return graph.correlate(graph.mention_nodes(m), graph.comention_edges(m), "Desk.7@mail.example.com").select("type", "value", "weight")
 
 
-@query(f"with {T.LINKED_SQL}, {_mentions_sql('linked')} select type, count(distinct lower(value)) as indicators from mentions group by type union all select 'identity', 1 union all select 'relationship', count(*) from (select distinct a.n, b.n as m from (select distinct id, {_NODE} as n from mentions) a join (select distinct id, {_NODE} as n from mentions) b on a.id = b.id and a.n < b.n)")
+_STIX_KINDS = "case type " + " ".join(f"when '{t}' then '{k}:{p}'" for t, (k, p) in sinks.STIX_TYPES.items()) + " else 'x-entity:value' end"
+
+
+@query(f"""with {T.LINKED_SQL}, {_mentions_sql('linked')}, {_EDGES_SQL}, nodes as (select {_NODE} as eid, type, arg_min(value, report_ord) as value from mentions group by 1, 2)
+select 'identity' as type, 'Weftline' as name, null as pattern union all select 'indicator', type || ': ' || value, '[' || {_STIX_KINDS} || ' = ' || chr(39) || value || chr(39) || ']' from nodes
+union all select 'relationship', a.type || ': ' || a.value, b.type || ': ' || b.value from edges join nodes a on a.eid = src join nodes b on b.eid = dst""")
 def graph_stix_objects(spark, sf_dir):
+    """Objects by name and pattern; relationships by the names of both ends."""
     m = extract.extract_indicators(T.linked_reports(spark, sf_dir))
     s = sinks.graph_stix(graph.mention_nodes(m), graph.comention_edges(m))
-    kind = F.when(F.col("type") == "indicator", F.split(F.get_json_object("object", "$.name"), ": ")[0]).otherwise(F.col("type"))
-    return s.groupBy(kind.alias("type")).agg(F.countDistinct("id").alias("indicators"))
+    get = lambda p: F.get_json_object("object", f"$.{p}")
+    s = s.select("type", "id", get("name").alias("name"), get("pattern").alias("pattern"), get("source_ref").alias("a"), get("target_ref").alias("b"))
+    named = s.where("name is not null")
+    ends = lambda end, name: named.select(F.col("id").alias(end), F.col("name").alias(name))
+    related = s.where("type = 'relationship'").select("a", "b").join(ends("a", "one"), "a").join(ends("b", "two"), "b").select(F.lit("relationship").alias("type"), F.col("one").alias("name"), F.col("two").alias("pattern"))
+    return named.select("type", "name", "pattern").unionByName(related)
 
 
 # --- retrieval ---------------------------------------------------------------
@@ -185,11 +210,11 @@ def tfidf_search(spark, sf_dir):
     return retrieve.search(T.reports(spark, sf_dir), _QUERY, 12)
 
 
-@query(f"""with s as (select item_id, generate_subscripts(parts, 1) - 1 as pos, unnest(parts) as sentence from (select item_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1\x01', 'g'), '\x01') as parts from benchmark)),
-o as (select item_id, pos, sentence, len(list_intersect(list_distinct(regexp_extract_all(lower(sentence), '[a-z0-9]+')), ['and', 'ertion', 'hethe', 'onst', 'the', 'thnd', 'zzyzx'])) as overlap from s)
-select item_id, pos::int as pos, sentence, overlap::int as overlap from o where overlap > 0 order by overlap desc, item_id, pos limit 10""")
+@query(f"""with {T.REPORTS_SQL}, s as (select report_ord, generate_subscripts(parts, 1) - 1 as pos, unnest(parts) as sentence from (select report_ord, string_split(regexp_replace(text, '([.!?])\\s+', '\\1\x01', 'g'), '\x01') as parts from reports)),
+o as (select report_ord, pos, sentence, len(list_intersect(list_distinct(regexp_extract_all(lower(sentence), '[a-z0-9]+')), ['and', 'ertion', 'hethe', 'onst', 'the', 'thnd', 'zzyzx'])) as overlap from s)
+select report_ord, pos::int as pos, sentence, overlap::int as overlap from o where overlap > 0 order by overlap desc, report_ord, pos limit 10""")
 def extractive_summary(spark, sf_dir):
-    return retrieve.extractive_summary(T.table(spark, sf_dir, "benchmark").select("item_id", "text"), _QUERY, "item_id", 10)
+    return retrieve.extractive_summary(T.reports(spark, sf_dir).select("report_ord", "text"), _QUERY, "report_ord", 10)
 
 
 # --- entities ----------------------------------------------------------------
@@ -415,10 +440,19 @@ def fusion_counts(spark, sf_dir):
     return _fusion(spark, sf_dir).counts
 
 
-@query(f"with {_ENT_SQL} select 'identity' as type, 1 as n union all select 'observed-data', count(*) from obs union all select 'x-entity', count(distinct root) from ec union all select 'relationship', count(*) from ec")
+@query(f"""with {_ENT_SQL}, {_ENTITIES_SQL} select 'identity' as type, 'Weftline Fusion' as name, null as told, null::double as lat union all select 'observed-data', timestamp, 'discipline:' || discipline || ' source:' || source || ' ' || text, lat from obs
+union all select 'x-entity', canonical, etype || ' ' || disciplines, null from ent union all select 'relationship', 'derived-from', canonical, null from eo join ent using (root)""")
 def fusion_stix_objects(spark, sf_dir):
+    """Objects by what they tell; relationships by the name of their entity."""
     f = _fusion(spark, sf_dir)
-    return sinks.fusion_stix(f.observations, f.entities).groupBy("type").agg(F.countDistinct("id").alias("n"))
+    get = lambda p: F.get_json_object("object", f"$.{p}")
+    none = F.lit(None).cast("double").alias("lat")
+    s = sinks.fusion_stix(f.observations, f.entities).select("type", "id", "object")
+    own = s.where("type = 'identity'").select("type", get("name").alias("name"), F.lit(None).cast("string").alias("told"), none)
+    seen = s.where("type = 'observed-data'").select("type", get("first_observed").alias("name"), F.concat_ws(" ", get("labels[0]"), get("labels[1]"), get("x_text")).alias("told"), get("x_geo[0]").cast("double").alias("lat"))
+    things = s.where("type = 'x-entity'").select("type", "id", get("name").alias("name"), F.concat_ws(" ", get("entity_type"), F.array_join(F.from_json(get("x_disciplines"), "array<string>"), "|")).alias("told"), none)
+    links = s.where("type = 'relationship'").select("type", get("relationship_type").alias("name"), get("source_ref").alias("id")).join(things.select("id", F.col("name").alias("told")), "id").select("type", "name", "told", none)
+    return own.unionByName(seen).unionByName(things.drop("id")).unionByName(links)
 
 
 @query(f"with {T.OBSERVATIONS_SQL} select id, discipline, source, timestamp, entity, entity_type, lat, lon, reliability, credibility, text from obs")
@@ -449,7 +483,7 @@ def map_projection(spark, sf_dir):
 
 @query()
 def small_targets(spark, sf_dir):
-    """Embeddings' values as 16 x 4 grids with one bright pixel each."""
+    """Embeddings' values as 8 x 8 grids with one bright pixel each."""
     e = T.table(spark, sf_dir, "embeddings")
     bright = F.transform("embedding", lambda x, i: x.cast("double") * 0.1 + F.when(i == F.pmod(F.col("vec_id"), F.size("embedding")), 40.0).otherwise(0.0))
     grid = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.slice(F.col("v"), r * 8 + 1, F.lit(8)))
@@ -471,3 +505,6 @@ def retrieval_metrics(spark, sf_dir):
     ranked = o.select(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("id"), F.expr("row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey)").alias("rank"))
     relevant = o.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("id"))
     return metrics.retrieval_metrics(ranked, relevant).select("query", "precision_at_1", F.round("recall_at_k", 6).alias("recall_at_k"), F.round("mrr", 6).alias("mrr"))
+
+
+from weftline.plans import product_queries  # noqa: E402, F401  registers its queries here
