@@ -23,8 +23,10 @@ RANGE_ROWS = 20_000
 
 
 def row_key(seed: int) -> Column:
-    """The hash-random key of a row; rows that are alike share it."""
-    return F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
+    """The hash-random key of a row, 60 bits of a hash that SQL has too; rows
+    that are alike share it."""
+    parts = [F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in ("doc_id", "source", "text")]]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: float = MAX_EPOCHS) -> DataFrame:
@@ -73,7 +75,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epoch
     targets = stage(source_targets(sizes, weights, max_epochs), "mix-targets").select(F.col("source").alias("s"), "source_size", "target", "n")
     # the number of ranges follows the row count; 64 at least, so that one source spreads over tasks
     ranged = rows.join(targets, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    ranged = ranged.withColumn("range", unit_interval(F.col("key"), F.greatest(F.lit(64), F.ceil(F.col("n") / RANGE_ROWS))))
+    ranged = ranged.withColumn("range", unit_interval(F.shiftleft("key", 4), F.greatest(F.lit(64), F.ceil(F.col("n") / RANGE_ROWS))))
     sums = rows_by_range(ranged)
     inside = F.expr("coalesce(sum(size) over (partition by source, range order by key, doc_id, size rows between unbounded preceding and 1 preceding), 0)")
     placed = (

@@ -61,6 +61,16 @@ def op10_sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op3 tells of every document beside the model's verdict."""
+    return op3_quality_query(spark, sf_dir).drop("kept", "llr")
+
+
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans that op5 finds by its patterns."""
+    return op5_secrets_query(spark, sf_dir).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing_query,
     "op2_licenses": op2_licenses_query,
@@ -72,11 +82,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html_query,
     "op9_decontamination": op9_decontamination_query,
     "op10_sharding": op10_sharding_query,
+    "quality_base": quality_base,
+    "secret_base": secret_base,
 }
 
+_ASSIGN = op5_secrets.ASSIGN.replace("'", "''")
+#: Matches of a pattern and the gaps between them give the places, in code points.
+_PLACED = " union all ".join(
+    f"select r, {k} as kind, string_split_regex(text, '{rx}') as gaps, regexp_extract_all(text, '{rx}') as found, regexp_extract_all(text, '{rx}', {group}) as sized from d where regexp_matches(text, '{rx}')"
+    for k, (rx, group) in enumerate(((_ASSIGN, 2), ("AKIA[A-Z0-9]+", 0), ("[0-9a-f]+", 0)))
+)
+
 #: Where SQL can say it.  The others rest on 64-bit hashes, trained weights or
 #: verified candidate search, and are held against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+    ('0x' || substr(md5('17|' || coalesce(doc_id::varchar, '~') || '|' || coalesce(source, '~') || '|' || coalesce(text, '~')), 1, 15))::bigint as key from documents),
+s as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as rank from d group by source),
+w as (select *, [5.0, 2.0, 1.0][rank % 3 + 1]::double as weight, 3.0::double * source_size as cap from s),
+r as (select *, coalesce(sum(cap) over before, 0)::double as cap_before, sum(weight) over () - coalesce(sum(weight) over before, 0) as weight_left, (sum(source_size) over ())::double as total from w
+  window before as (order by cap / weight, rank rows between unbounded preceding and 1 preceding)),
+l as (select *, (total - cap_before) / weight_left as level, (total - cap_before) / weight_left > cap / weight as stops from r),
+t as (select source, source_size, least(cap, case when stops then cap else weight * (select arg_min(level, (cap / weight, rank)) from l where not stops) end) as target from l),
+p as (select d.*, t.source_size, t.target, floor(t.target + 0.5)::bigint as budget, coalesce(sum(size) over (partition by d.source order by key, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as start
+  from d join t on d.source is not distinct from t.source),
+e as (select *, case when source_size > 0 then budget // source_size else 0 end as epochs from p)
+select doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, budget - epochs * source_size - start)))::bigint as taken from e""",
     "op7_warc": r"""
 with p as (select page_id, coalesce(html, '') as html, regexp_replace(regexp_replace(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://(?:www\.)?', ''), '#.*$', '') as bare from pages),
 d as (select *, strlen(html)::bigint as payload_bytes, sha256(html) as payload_digest from p),
@@ -85,4 +117,22 @@ select page_id, payload_bytes, payload_digest, case when page_id > first then 'r
   array_to_string(list_reverse(string_split(regexp_extract(bare, '^[^/?:]*'), '.')), ',') || ')' || regexp_replace(bare, '^[^/?:]*(?::\d+)?', '') as url_key,
   strftime(make_timestamp((1704067200 + page_id % 31536000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') as captured
 from d left join f using (payload_digest)""",
+    "quality_base": r"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+wd as (select r, unnest(w) as word, generate_subscripts(w, 1) as i from d),
+h as (select r, i, word || ' ' || lead(word, 1) over p || ' ' || lead(word, 2) over p || ' ' || lead(word, 3) over p || ' ' || lead(word, 4) over p || ' ' || lead(word, 5) over p || ' ' || lead(word, 6) over p || ' ' || lead(word, 7) over p as x
+  from wd window p as (partition by r order by i)),
+rep as (select r, i from (select *, count(*) over (partition by r, x) as n from h where x is not null) where n > 1),
+cov as (select r, count(*) as n from (select distinct r, i + k as j from rep, range(8) t(k)) group by r),
+ln as (select r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d)
+select doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols,
+  (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(n, 0)::bigint as n_repeat_words, len(w) < 20 or 100 * coalesce(n, 0) > 30 * len(w) as base_failed
+from d join ln using (r) left join cov using (r)""",
+    "secret_base": f"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+f as (select *, unnest(range(1, len(found) + 1)) as i from ({_PLACED})),
+s as (select r, kind, length(sized[i]) as size, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i-1], lambda x: length(x))), 0))::bigint as start, length(found[i]) as n from f),
+k as (select r, kind, start, start + n as stop from s where size >= [12, 18, 16][kind + 1]),
+g as (select r, count(*) filter (kind = 0) as a, count(*) filter (kind = 1) as b, count(*) filter (kind = 2) as c, string_agg(['assign', 'access', 'hex'][kind + 1] || ':' || start || ':' || stop, ',' order by start, kind) as spans from k group by r)
+select doc_id, coalesce(a, 0) as n_assign, coalesce(b, 0) as n_access, coalesce(c, 0) as n_hex, sha256(coalesce(spans, '')) as base_sha256 from d left join g using (r)""",
 }
