@@ -83,10 +83,11 @@ def natural_moments(texts: DataFrame) -> dict[int, tuple[float, float]]:
     """By encoding, the sums of squared and of cubed frequencies of its
     characters in all texts, candidates left out (and as if each were there once
     more).  texts: text."""
-    texts = texts.select(F.regexp_replace("text", CANDIDATE, "").alias("text"))
-    times = lambda c: F.sum(F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))).alias(f"c{ord(c)}")
-    found = texts.agg(*[times(c) for c in MIXED_CASE + "+/"]).first()
-    count = {c: (found[f"c{ord(c)}"] or 0) for c in MIXED_CASE + "+/"}
+    symbols = MIXED_CASE + "+/"
+    times = lambda t: F.array(*[F.octet_length(t) - F.octet_length(F.replace(t, F.lit(c), F.lit(""))) for c in symbols])
+    # exploded, so that the array, and the text without candidates, is made once for each text
+    each = texts.where("text <> ''").select(F.posexplode(let(F.regexp_replace("text", CANDIDATE, ""), times)).alias("at", "n"))
+    count = dict.fromkeys(symbols, 0) | {symbols[r["at"]]: r["n"] for r in each.groupBy("at").agg(F.sum("n").alias("n")).collect()}
     out = {}
     for size in SIZES:
         if size in ENCODINGS:
