@@ -57,9 +57,10 @@ def _fusion(spark: SparkSession, path: str | None) -> Fusion:
     return run_scenario(spark, (DEMO_SCENARIO["name"], {d: r.drop("content") for d, r in sources.items()}, zones))
 
 
-def _print_rows(df: DataFrame, limit: int = 50) -> None:
-    for r in df.limit(limit).toJSON().collect():
-        print(r)
+def _print_rows(df: DataFrame) -> None:
+    """All rows as JSON lines, a partition at a time."""
+    for r in sinks.as_json(df).toLocalIterator():
+        print(r["object"])
 
 
 def cmd_query(spark, args):
@@ -142,7 +143,7 @@ def cmd_dossier(spark, args):
 def cmd_export(spark, args):
     f = _fusion(spark, args.scenario)
     tables = {
-        "json": lambda: sinks.as_json(f.observations), "csv": lambda: sinks.observation_csv(f.observations), "entities-csv": lambda: sinks.entity_csv(f.entities),
+        "json": lambda: sinks.fusion_json(f.observations, f.entities, f.corroboration), "csv": lambda: sinks.observation_csv(f.observations), "entities-csv": lambda: sinks.entity_csv(f.entities),
         "stix": lambda: sinks.fusion_stix(f.observations, f.entities).select("object"), "symbols": lambda: sinks.as_json(sinks.symbol_agnostic(f.entities)),
     }
     table = tables[args.format]()
@@ -151,7 +152,7 @@ def cmd_export(spark, args):
     elif args.format.endswith("csv"):
         sinks.write_csv(table, args.out)
     else:
-        table.write.text(args.out)
+        table.select("object").write.text(args.out)
 
 
 def cmd_demo_fusion(spark, args):

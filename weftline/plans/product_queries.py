@@ -192,6 +192,16 @@ def observations_as_json(spark, sf_dir):
     return o.select("o.id", "o.discipline", "o.entity", "o.lat", F.col("o.attributes")["emitter_id"].alias("emitter_id"))
 
 
+@query(f"with {Q._ENT_SQL}, {Q._ENTITIES_SQL}, {Q._SCORES_SQL} select 'observations' as part, id, text as told from obs union all select 'entities', root, canonical from ent union all select 'assessment', root, band from scores")
+def fusion_json_rows(spark, sf_dir):
+    """A fusion result as JSON rows, read again."""
+    f = Q._fusion(spark, sf_dir)
+    get = lambda p: F.get_json_object("object", f"$.{p}")
+    rows = sinks.fusion_json(f.observations, f.entities, f.corroboration)
+    of = lambda a, b, c: F.when(F.col("part") == "observations", get(a)).when(F.col("part") == "entities", get(b)).otherwise(get(c))
+    return rows.select("part", of("id", "root", "root").alias("id"), of("text", "canonical", "band").alias("told"))
+
+
 # --- answers and evaluations -------------------------------------------------
 
 _ASKED = "Desk.7 addr-7 example.com near"

@@ -103,9 +103,23 @@ def as_json(table: DataFrame) -> DataFrame:
     return table.select(F.to_json(F.struct(*table.columns)).alias("object"))
 
 
+def _parts(**tables: DataFrame | None) -> DataFrame:
+    """object, part: the rows of all tables as JSON, with their table's name."""
+    out = None
+    for part, df in tables.items():
+        if df is not None:
+            rows = as_json(df).withColumn("part", F.lit(part))
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    tag = lambda df, part: as_json(df).withColumn("part", F.lit(part))
-    return tag(nodes, "entities").unionByName(tag(edges, "edges"))
+    return _parts(entities=nodes, edges=edges)
+
+
+def fusion_json(observations: DataFrame, entities: DataFrame | None = None, assessment: DataFrame | None = None) -> DataFrame:
+    """A fusion result as JSON rows; entities and assessment may be left out."""
+    return _parts(observations=observations, entities=entities, assessment=assessment)
 
 
 def project(points: DataFrame, width: float = 680.0, height: float = 360.0, pad: float = 28.0) -> DataFrame:
