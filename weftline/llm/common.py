@@ -88,7 +88,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Word (bytes) to 64-bit hash, remembered up to a bound."""
 
-    BOUND = 400_000
+    BOUND = 1 << 17
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

@@ -35,7 +35,7 @@ BANDS = 25
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8^5)^25 < 5e-5.
 ROWS = 5
 #: Texts whose darts are thrown together.
-CHUNK = 1024
+CHUNK = 256
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 

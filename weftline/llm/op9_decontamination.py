@@ -62,7 +62,7 @@ _WORD_NUMBERS = frozenset("zero one two three four five six seven eight nine ten
 class Templates(dict):
     """Word (bytes) to a packed number: hash, whether a sentence ends, kind."""
 
-    BOUND = 400_000
+    BOUND = 1 << 17
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
