@@ -17,10 +17,11 @@ COLOCATION_POINTS = 60
 EXCLUSIVE = ("entity_type", "status", "flag_state", "affiliation")
 
 
-def colocation(entity_obs: DataFrame, key: str = "root") -> DataFrame:
-    """key, colocation: the share of pairs of points within COLOCATION_KM."""
+def colocation(entity_obs: DataFrame, key: str = "root", points: int = COLOCATION_POINTS) -> DataFrame:
+    """key, colocation: the share of pairs, of an entity's first `points` points
+    (all of them if it is large enough), within COLOCATION_KM."""
     order = Window.partitionBy(key).orderBy("timestamp", "id")
-    geo = entity_obs.where("lat is not null and lon is not null").select(key, "lat", "lon", F.row_number().over(order).alias("rn")).where(F.col("rn") <= COLOCATION_POINTS)
+    geo = entity_obs.where("lat is not null and lon is not null").select(key, "lat", "lon", F.row_number().over(order).alias("rn")).where(F.col("rn") <= points)
     a, b = geo.alias("a"), geo.alias("b")
     pairs = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.rn") < F.col("b.rn")))
     near = haversine_km(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")) <= COLOCATION_KM
@@ -31,13 +32,13 @@ def band(score: Column, disciplines: Column, sources: Column) -> Column:
     return F.when((sources <= 1) & (disciplines <= 1), "single-source").when(score >= 0.72, "strong").when(score >= 0.45, "moderate").otherwise("weak")
 
 
-def corroboration(entity_obs: DataFrame, key: str = "root") -> DataFrame:
+def corroboration(entity_obs: DataFrame, key: str = "root", points: int = COLOCATION_POINTS) -> DataFrame:
     """key, n_disciplines, n_sources, mean_confidence, colocation, score, band."""
     g = entity_obs.groupBy(key).agg(
         F.countDistinct("discipline").alias("n_disciplines"), F.countDistinct("source").alias("n_sources"),
         F.avg(observation_confidence(F.col("reliability"), F.col("credibility"))).alias("mean_confidence"),
     )
-    g = g.join(colocation(entity_obs, key), key, "left").withColumn("colocation", F.coalesce("colocation", F.lit(0.0)))
+    g = g.join(colocation(entity_obs, key, points), key, "left").withColumn("colocation", F.coalesce("colocation", F.lit(0.0)))
     raw = 0.45 * (1 - F.pow(F.lit(0.6), F.col("n_disciplines"))) + 0.25 * (1 - F.pow(F.lit(0.7), F.col("n_sources"))) + 0.20 * F.col("mean_confidence") + 0.10 * F.col("colocation")
     g = g.withColumn("score", F.round(raw, 4))
     return g.withColumn("band", band(F.col("score"), F.col("n_disciplines"), F.col("n_sources")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.operators import extract, graph, normalize
+from weftline.operators import corroborate, extract, graph, normalize
 from weftline.plans import evaluate
 from weftline.plans import queries as Q
 from weftline.plans import tables as T
@@ -202,6 +202,12 @@ def fusion_json_rows(spark, sf_dir):
     return rows.select("part", of("id", "root", "root").alias("id"), of("text", "canonical", "band").alias("told"))
 
 
+@query(f"with {Q._ENT_SQL}, {Q._SCORES_SQL}, {Q._SPATIAL_SQL}, {Q._ATTRIBUTES_SQL} select count(*) as entities, count(*) filter (band = 'strong') as strong, count(*) filter (band = 'moderate') as moderate, count(*) filter (band = 'weak') as weak, count(*) filter (band = 'single-source') as single_source, (select count(*) from spatial) as spatial, (select count(*) from attrs) as attribute from scores")
+def assessment(spark, sf_dir):
+    f = Q._fusion(spark, sf_dir)
+    return corroborate.assessment_summary(f.corroboration, f.spatial_contradictions, f.attribute_conflicts)
+
+
 # --- answers and evaluations -------------------------------------------------
 
 _ASKED = "Desk.7 addr-7 example.com near"
