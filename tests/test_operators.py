@@ -197,3 +197,77 @@ def test_streaming(spark, tmp_path):
     q = stream_dwell(stream_alerts(s, z)).writeStream.outputMode("complete").format("memory").queryName("dwell").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(120)
     assert [r["points"] for r in spark.table("dwell").collect()] == [2]
+
+
+def test_addresses_against_the_standard_library(spark):
+    import ipaddress
+
+    r = random.Random(11)
+    tokens = ["1.2.3.4", "01.2.3.4", "256.1.1.1", "1.2.3", "::", "::1", "1::", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7::", "::ffff:1.2.3.4", "1::2::3", ":::", ":1", "1:", "fe80::1%eth0", "12345::", "g::1", "", "x", "1:2:3:4:5:6:1.2.3.4", "1:2:3:4:5:6:7:1.2.3.4", "::1.2.3.456", "1.2.3.4:80"]
+    tokens += [":".join(r.choice(["", "0", "a1", "ffff", "1.2.3.4", "12345"]) for _ in range(r.randint(1, 9))) for _ in range(400)]
+
+    def valid(t):
+        try:
+            return bool(ipaddress.ip_address(t))
+        except ValueError:
+            return False
+
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", feeds.is_ip(F.col("t")).alias("ip")).collect()
+    assert {g["t"]: g["ip"] for g in got} == {t: valid(t) for t in tokens}
+
+
+def test_block_list_limit_and_feed_depth(spark):
+    content = "\n".join(f"10.0.{k // 250}.{k % 250}" for k in range(130))
+    rss = "<r><item><title>A</title><more><item><title>B</title><link>l</link></item></more><description>x<b>y</b>z</description></item><item/></r>"
+    p = spark.createDataFrame([(content, rss, "<broken")], "c string, r string, bad string").select(
+        F.size(feeds.ioc_lines(F.col("c"), F.lit("s"))).alias("n"), F.size(feeds.ioc_lines(F.col("c"), F.lit("s"), 1000)).alias("all"), feeds.rss(F.col("r")).alias("r"), feeds.rss(F.col("bad")).alias("bad"),
+    ).first()
+    assert (p["n"], p["all"], p["bad"]) == (100, 130, [])
+    assert [(i["key"], i["text"]) for i in p["r"]] == [("A", "A. x"), ("l", "B. "), ("", ". ")]
+
+
+def test_gazetteer_terms_of_any_shape(spark):
+    text = "The U.S. Navy and u.s. navy, not us navy; C++ and X-ray, x-rays, ÉLAN élan, 東京 tower; (alpha) alpha-beta alpha."
+    gazetteer = {"t": {"U.S. Navy": [], "X-ray": ["x"], "élan": [], "東京": [], "alpha": ["alpha-beta", "(alpha)"], "++": []}}
+    r = spark.createDataFrame([(0, "a", text), (1, "b", None), (2, "c", "")], "report_ord long, id string, text string")
+    got = sorted((m["canonical"], m["value"], m["start"]) for m in extract.extract_gazetteer(r, gazetteer).collect())
+    import re
+
+    want = sorted(
+        (name, m[0], m.start()) for names in gazetteer.values() for name, aliases in names.items() for t in (name, *aliases) if re.search(r"\w", t)
+        for m in re.finditer(rf"\b{re.escape(t.lower())}\b", text, re.I)
+    )
+    assert got == want and extract.extract_gazetteer(r, {}).count() == 0
+
+
+def test_pairs_of_large_reports_in_blocks(spark):
+    m = spark.createDataFrame([(f"r{k % 3}", "t", f"e{k % 17}") for k in range(60)], "source_ref string, type string, canonical string")
+    rows = lambda block: sorted((e["src"], e["dst"], e["weight"], tuple(e["sources"])) for e in graph.comention_edges(m, block).collect())
+    assert rows(4) == rows(256) and len(rows(4)) == 17 * 16 // 2
+
+
+def test_term_frequencies(spark):
+    from weftline.operators import retrieve
+
+    r = spark.createDataFrame([(0, "a", "b a b, c b"), (1, "b", ""), (2, "c", None)], "report_ord long, id string, text string")
+    assert sorted((p["id"], p["term"], p["tf"]) for p in retrieve.postings(r).collect()) == [("a", "a", 0.2), ("a", "b", 0.6), ("a", "c", 0.2)]
+
+
+def test_scenario_file(spark, tmp_path):
+    from weftline.plans.scenario import run_scenario
+    from weftline.sources.scenario import load_gazetteer
+
+    at = tmp_path / "s.json"
+    at.write_text(json.dumps({
+        "name": "n", "sources": {"sigint": [{"emitter_id": "E1", "content": "hidden", "lat": 1.0, "lon": 2.0}], "osint": [{"title": "t", "entity": "Gull"}], "unknown": [{"a": 1}]},
+        "zones": [{"name": "z", "lat": 1.0, "lon": 2.0}],
+    }))
+    f = run_scenario(spark, str(at))
+    assert f.name == "n" and "hidden" not in str(f.observations.collect()) and f.observations.count() == 2
+    z = f.zones.first()
+    assert (z["name"], z["radius_km"], z["kind"]) == ("z", 1.0, "area-of-interest") and f.zone_alerts.count() == 1
+    g = tmp_path / "g.json"
+    g.write_text(json.dumps({"org": {"A": ["b"]}}))
+    assert load_gazetteer(spark, str(g)) == {"org": {"A": ["b"]}}
+    rows = sinks.fusion_json(f.observations, f.entities).collect()
+    assert [r["part"] for r in sorted(rows, key=lambda r: r["part"])] == ["entities"] * f.entities.count() + ["observations"] * 2
