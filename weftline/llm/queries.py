@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_mixing, op2_licenses, op3_quality, op4_linededup, op5_secrets, op6_neardup, op7_warc, op8_html, op9_decontamination, op10_sharding
+from . import op1_mixing, op2_licenses, op3_quality, op4_linededup, op5_secrets, op6_neardup, op7_warc, op8_html, op9_decontamination, op10_sharding, op11_conversations, op12_fill_in_middle, op13_packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,22 @@ def op10_sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_conversations_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_conversations.repair_damaged(_table(spark, sf_dir, "conversations"))
+
+
+def op12_fill_in_middle_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = op12_fill_in_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
+    restored = op12_fill_in_middle.restore(F.col("form"), F.col("output"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op13_packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return op13_packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op3 tells of every document beside the model's verdict."""
     return op3_quality_query(spark, sf_dir).drop("kept", "llr")
@@ -82,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html_query,
     "op9_decontamination": op9_decontamination_query,
     "op10_sharding": op10_sharding_query,
+    "op11_conversations": op11_conversations_query,
+    "op12_fill_in_middle": op12_fill_in_middle_query,
+    "op13_packing": op13_packing_query,
     "quality_base": quality_base,
     "secret_base": secret_base,
 }
@@ -93,6 +112,38 @@ _PLACED = " union all ".join(
     for k, (rx, group) in enumerate(((_ASSIGN, 2), ("AKIA[A-Z0-9]+", 0), ("[0-9a-f]+", 0)))
 )
 
+#: CRC-32 of an ASCII text, bit by bit.
+_CRC32 = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({}, ''), lambda ch: ascii(ch)::bigint)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+
+
+def _edited(state: str, cost: str, edits: str) -> str:
+    """Ways are texts of nine digits of cost and the audit, so the least is the cheapest."""
+    return f"(lpad((left({state}, 9)::bigint + {cost})::varchar, 9, '0') || substr({state}, 10) || '{edits}')"
+
+
+def _inserted(s: str, u: str, a: str, e: str) -> list[str]:
+    """The four states' ways with insertions after them."""
+    e, s = e or "null", s or "null"
+    to_user = [u, _edited(e, "2", "I"), _edited(s, "2", "I"), _edited(a, "2", "I")]
+    to_assistant = [a, _edited(u, "2", "I"), _edited(e, "4", "II"), _edited(s, "4", "II")]
+    return [e, s, f"least({', '.join(to_user)})", f"least({', '.join(to_assistant)})"]
+
+
+def _turned() -> list[str]:
+    """The states' ways (e, s, u, a) after one more turn (role initial i, must: to be deleted, t: truncated)."""
+    kept = lambda state, i: f"case when i = '{i}' and not must then {_edited(state, 't', 'K')} end"
+    put = lambda state: f"case when not must then {_edited(state, '2 + t', 'R')} end"
+    gone = lambda state: _edited(state, "3", "D")
+    return [
+        gone("e"),
+        f"least({gone('s')}, {kept('e', 's')})",
+        f"least({gone('u')}, {', '.join(f(x) for x in 'esa' for f in (lambda x: kept(x, 'u'), put))})",
+        f"least({gone('a')}, {kept('u', 'a')}, {put('u')})",
+    ]
+
+
+_AFTER = _inserted("s", "u", "a", "e")
+
 #: Where SQL can say it.  The others rest on 64-bit hashes, trained weights or
 #: verified candidate search, and are held against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {
@@ -117,6 +168,33 @@ select page_id, payload_bytes, payload_digest, case when page_id > first then 'r
   array_to_string(list_reverse(string_split(regexp_extract(bare, '^[^/?:]*'), '.')), ',') || ')' || regexp_replace(bare, '^[^/?:]*(?::\d+)?', '') as url_key,
   strftime(make_timestamp((1704067200 + page_id % 31536000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') as captured
 from d left join f using (payload_digest)""",
+    "op11_conversations": rf"""
+with recursive d as (select *, {_CRC32.format("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as fault from conversations),
+f as (select conv_id, turn, case when fault = 4 then 'user' else coalesce(role, ' ') end as role,
+    case when fault = 1 then '' when fault = 2 then regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') else coalesce(text, ' ') end as text from d, range(case when fault = 3 then 2 else 1 end) where fault <> 0),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as k, left(role, 1) as i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare from f),
+j as (select *, case when bare = '' then 'blank' when row_number() over (partition by conv_id, role, text order by k) > 1 then 'duplicate' when right(bare, 1) not in ('.', '!', '?') then 'truncated' else 'none' end as fault,
+    k > 1 and coalesce(lag(i) over (partition by conv_id order by k), '') || i not in ('su', 'ua', 'au') as bad from o),
+t as (select *, fault in ('blank', 'duplicate') as must, (fault = 'truncated')::int as t from j),
+w as (select distinct conv_id, 0::bigint as k, '000000000' as e, null::varchar as s, '000000002I' as u, '000000004II' as a from t
+  union all select conv_id, k, {", ".join(f"{x} as {c}" for c, x in zip("esua", _AFTER, strict=True))} from (
+    select w.conv_id, t.k, {", ".join(f"{x} as {c}" for c, x in zip("esua", _turned(), strict=True))} from w join t on t.conv_id is not distinct from w.conv_id and t.k = w.k + 1)),
+z as (select conv_id, left(least(e, a), 9)::bigint as cost, substr(least(e, a), 10) as audit from (select *, row_number() over (partition by conv_id order by k desc) as last from w) where last = 1),
+c as (select conv_id, unnest(string_split(audit, '')) as edit, generate_subscripts(string_split(audit, ''), 1) as p from z where audit <> ''),
+e as (select *, count(*) filter (edit <> 'I') over up - case when edit = 'I' then 0 else 1 end + 1 as k, count(*) filter (edit <> 'D') over up as emitted from c window up as (partition by conv_id order by p)),
+r as (select e.*, t.role, t.text, t.i, max(case when emitted = 1 and edit = 'K' and i = 's' then 1 else 0 end) over (partition by e.conv_id) as headed from e left join t on t.conv_id is not distinct from e.conv_id and t.k = e.k),
+l as (select conv_id, sha256(string_agg(case edit when 'K' then role else case when (emitted - headed) % 2 = 1 then 'user' else 'assistant' end end || ':' || case edit when 'I' then '' else text end, chr(10) order by p)) as repaired_sha256 from r where edit <> 'D' group by conv_id),
+g as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated, count(*) filter (bad) as illegal from t group by conv_id)
+select x.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(cost, 0) as cost, coalesce(audit, '') as audit, coalesce(repaired_sha256, sha256('')) as repaired_sha256
+from (select distinct conv_id from conversations) x left join g on g.conv_id is not distinct from x.conv_id left join z on z.conv_id is not distinct from x.conv_id left join l on l.conv_id is not distinct from x.conv_id""",
+    "op12_fill_in_middle": r"""
+with d as (select doc_id, coalesce(text, '') as text, length(coalesce(text, ''))::bigint as n, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+h as (select *, ('0x' || substr(h, 1, 8))::bigint as h1, ('0x' || substr(h, 9, 8))::bigint as h2, ('0x' || substr(h, 17, 8))::bigint as h3, ('0x' || substr(h, 25, 8))::bigint as h4 from d),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when n = 0 or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from h),
+p as (select *, substring(text, 1, a) as prefix, substring(text, a + 1, b - a) as middle, substring(text, b + 1) as suffix from c)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256, sha256(text) as restored_sha256 from p""",
     "quality_base": r"""
 with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
 wd as (select r, unnest(w) as word, generate_subscripts(w, 1) as i from d),
