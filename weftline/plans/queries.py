@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import scalars
-from weftline.operators import corroborate, entities, extract, geofence, graph, metrics, normalize, retrieve, smalltarget, tracks
+from weftline.operators import corroborate, entities, extract, geofence, graph, index, metrics, normalize, retrieve, smalltarget, tracks
 from weftline.plans import tables as T
 from weftline.plans.scenario import Fusion
 from weftline.sources import feeds, sinks
@@ -149,6 +149,19 @@ def extract_gazetteer(spark, sf_dir):
     return extract.extract_gazetteer(r, T.GAZETTEER).groupBy("type", "canonical", "source_ref").agg(F.count("*").alias("n"))
 
 
+_CUT_SQL = " union all ".join(f"select '{k}' as type, '{c}' as canonical, '{t.lower()}' as term, id, text, string_split(lower(text), '{t.lower()}') as gaps from reports where contains(lower(text), '{t.lower()}')" for k, c, t, _ in _TERMS)
+
+
+@query(f"""with {T.REPORTS_SQL}, f as (select *, unnest(range(1, len(gaps))) as i from ({_CUT_SQL})),
+p as (select *, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + (i - 1) * length(term))::int as start from f),
+b as (select *, case when start > 0 then substring(text, start, 1) else '' end as before, substring(text, start + length(term) + 1, 1) as after from p)
+select type, canonical, substring(text, start + 1, length(term)) as value, id as source_ref, start, (start + length(term))::int as "end" from b
+where not regexp_matches(before, '[\\p{{L}}\\p{{N}}_]') and not regexp_matches(after, '[\\p{{L}}\\p{{N}}_]')""")
+def gazetteer_positions(spark, sf_dir):
+    """Every mention of a gazetteer term: where it is, and as it is written there."""
+    return extract.extract_gazetteer(T.reports(spark, sf_dir), T.GAZETTEER).select("type", "canonical", "value", "source_ref", "start", "end")
+
+
 _RESOLVED_SQL = "select type, lower(value) as key, arg_min(value, report_ord) as canonical, array_to_string(list_sort(list(distinct value)), '|') as aliases, array_to_string(list_sort(list(distinct id)), '|') as sources, count(*) as mentions from mentions group by type, lower(value)"
 
 
@@ -205,9 +218,17 @@ hits as (select report_ord, id, sum(w.w * q.w) / (any_value(norm) * any_value(qn
 select id, report_ord, round(raw, 4) as score from hits where raw > 0 order by round(raw, 10) desc, report_ord limit 12"""
 
 
+@query(f"with {T.REPORTS_SQL}, {_TOKENS_SQL}, dfs as (select term, count(*) as df from tf group by 1) select term, dfs.df, round(df.idf, 6) as idf, round(max(w / norm), 6) as most from w join norm using (report_ord) join df using (term) join dfs using (term) group by all")
+def tfidf_index(spark, sf_dir):
+    """The terms of an index that is built anew, with what bounds their scores."""
+    i = index.scratch_index(T.reports(spark, sf_dir))
+    return i.terms().select("term", "df", F.round("idf", 6).alias("idf"), F.round("most", 6).alias("most"))
+
+
 @query(_SEARCH_SQL)
 def tfidf_search(spark, sf_dir):
-    return retrieve.search(T.reports(spark, sf_dir), _QUERY, 12)
+    """A search of the kept index; the first one builds it."""
+    return index.index_once(T.reports(spark, sf_dir), sf_dir).search(_QUERY, 12)
 
 
 @query(f"""with {T.REPORTS_SQL}, s as (select report_ord, generate_subscripts(parts, 1) - 1 as pos, unnest(parts) as sentence from (select report_ord, string_split(regexp_replace(text, '([.!?])\\s+', '\\1\x01', 'g'), '\x01') as parts from reports)),
