@@ -11,7 +11,7 @@ from weftline.operators import corroborate, entities, extract, geofence, graph,
 from weftline.operators.components import components
 from weftline.plans.answer import Answers
 from weftline.plans.scenario import Fusion, observations_from
-from weftline.sources import feeds, sinks
+from weftline.sources import feed_source, feeds, sinks
 from weftline.sources.scenario import load_reports
 
 REPORTS = [
@@ -162,7 +162,7 @@ def test_feeds(spark):
 
 def test_feed_cache(spark, tmp_path):
     client = feeds.HttpClient(str(tmp_path), offline=True)
-    reports_, errors = feeds.collect(spark, client, ("feodo_iocs", "nowhere"))
+    reports_, errors = feed_source.collect(spark, client, ("feodo_iocs", "nowhere"))
     assert reports_.count() == 0 and {e["feed"] for e in errors.collect()} == {"feodo_iocs", "nowhere"}
 
 

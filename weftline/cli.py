@@ -14,7 +14,7 @@ from weftline.operators import graph, smalltarget
 from weftline.operators.geofence import zones_frame
 from weftline.plans.answer import Answers
 from weftline.plans.scenario import Fusion, run_scenario
-from weftline.sources import feeds, sinks
+from weftline.sources import feed_source, feeds, sinks
 from weftline.sources.scenario import load_gazetteer, load_reports
 
 DEMO_REPORTS = [
@@ -100,7 +100,7 @@ def cmd_sources_stats(spark, args):
 def _ingest(spark, args):
     client = feeds.HttpClient(args.cache, args.offline)
     names = tuple(args.feeds.split(",")) if getattr(args, "feeds", None) else None
-    return feeds.collect(spark, client, names, args.limit)
+    return feed_source.collect(spark, client, names, args.limit)
 
 
 def cmd_sources_ingest(spark, args):

@@ -3,16 +3,19 @@ can say it."""
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import scalars
+from weftline.functions.staging import scratch_dir
 from weftline.operators import corroborate, entities, extract, geofence, graph, index, metrics, normalize, retrieve, smalltarget, tracks
 from weftline.plans import tables as T
 from weftline.plans.scenario import Fusion
-from weftline.sources import feeds, sinks
+from weftline.sources import feed_source, feeds, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -55,6 +58,30 @@ def feed_reports(spark, sf_dir):
     return feeds.payload_reports(e).select("id", "timestamp", "source", "text")
 
 
+@query("""with e as (select event_type || '.' || strftime(ts, '%Y-%m-%d') as source, event_type, event_id, 'k' || event_id // 3 as key, strftime(ts, '%Y-%m-%d') as day, user_id from events),
+r as (select distinct on (source, key) source, source || '-' || substr(sha1(key), 1, 10) as id, day as timestamp, case when event_type = 'view' then 'unit ' || user_id else 'unit ' || user_id || ' (example.com)' end as text from e where source <> 'purchase.2024-01-03' order by source, key, event_id)
+select id, timestamp, source, text, null as error from r union all select distinct null, null, source, null, 'RuntimeError' from e where source = 'purchase.2024-01-03'""")
+def feed_ingest(spark, sf_dir):
+    """Events as payloads of a feed for each type and day, put into the cache by the
+    workers and read offline by the data source; one feed is not in the cache."""
+    day = F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd")
+    e = T.table(spark, sf_dir, "events").select("event_id", F.concat("event_type", F.lit("."), day).alias("feed"), "event_type", F.expr("concat('k', event_id div 3)").alias("key"), F.concat(F.lit(" unit  "), "user_id").alias("title"), day.alias("day"))
+    items = F.array_sort(F.collect_list(F.struct("event_id", "key", "title", "day")))
+    article = lambda x: F.struct(x["key"].alias("url"), x["title"].alias("title"), F.lit("example.com").alias("domain"), x["day"].alias("seendate"))
+    document = lambda x: F.struct(x["key"].alias("id"), F.struct(x["title"].alias("title"), F.struct(x["day"].alias("created")).alias("date")).alias("fields"))
+    content = F.when(F.col("event_type") == "view", F.to_json(F.struct(F.transform("items", document).alias("data")))).otherwise(F.to_json(F.struct(F.transform("items", article).alias("articles"))))
+    # a feed's payload of a day is one document, as feeds have it
+    got = e.groupBy("feed", "event_type").agg(items.alias("items")).select("feed", "event_type", F.concat(F.lit("https://example.com/"), "feed").alias("url"), content.alias("content"))
+    cache = f"{scratch_dir(spark)}/weftline/feed-cache-{uuid.uuid4().hex}"
+    feed_source.fill_cache(got.where("feed <> 'purchase.2024-01-03'"), cache)
+    names = sorted(got.select("feed", "url", F.when(F.col("event_type") == "view", "reliefweb").otherwise("gdelt").alias("adapter")).collect())  # types x days
+    client = feeds.HttpClient(cache.removeprefix("file://"), offline=True)
+    reports, errors = feed_source.collect(spark, client, limit_per=None, catalog=json.dumps([list(n) for n in names]))
+    none = [F.lit(None).cast("string").alias(c) for c in ("id", "timestamp")]
+    failed = errors.select(*none, F.col("feed").alias("source"), F.lit(None).cast("string").alias("text"), F.substring_index("error", ":", 1).alias("error"))
+    return reports.select("id", "timestamp", "source", "text", F.lit(None).cast("string").alias("error")).unionByName(failed)
+
+
 @query(f"""with {T.OBSERVATIONS_SQL}, bad as (select id,
   case when source = 'src3' then '' else source end as source, case when lat > 38 then lat + 60 else lat end as lat, case when reliability = 'E' then 'X' else reliability end as reliability from obs)
 select id, concat_ws('|', case when source = '' then 'missing source' end, case when lat > 90 then 'lat out of range' end, case when reliability = 'X' then 'bad reliability code' end) as problems from bad
