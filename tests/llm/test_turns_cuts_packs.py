@@ -229,7 +229,7 @@ def packed_whole(rows, got, capacity=2048):
 
 def test_packing(spark):
     r = random.Random(7)
-    some = ["the", "Quick", "brown's", "fox", "naïve", "É", "12345", "don't", "áb", "<|endoftext|>", "　wide line\x1c", "👍🏽", "x" * 300, "..!?"]
+    some = ["the", "Quick", "brown's", "fox", "naïve", "É", "12345", "don't", "áb", "<|endoftext|>", "<|STARTOFTEXT|>x", "ÀB", "İI", "　wide line\x1c", "👍🏽", "x" * 300, "..!?"]
     rows = [(k, r.choice([" ", "\n", "\t ", "\x85"]).join(r.choice(some) + (str(r.randint(0, 99)) if r.random() < 0.3 else "") for _ in range(r.choice([1, 5, 50, 300, 900, 2500])))) for k in range(400)]
     rows += [(900, None), (901, ""), (902, " \n"), (None, "no id"), (None, "no id"), (903, "same row"), (903, "same row"), (BIG + 1, "word " * 50_000)]
     got = op13.pack_documents(docs(spark, rows).repartition(40), PATH).collect()
@@ -249,4 +249,4 @@ def test_words_of_a_full_memory_are_tokenized_anew(monkeypatch):
     for k in range(30):
         text = " ".join(f"word{k * 7 + i} {'long' * 40}{k}" for i in range(12))
         ids = whole.encode(text, add_special_tokens=False).ids
-        assert tokens.ids(text) == b"".join(i.to_bytes(4, "little") for i in ids)
+        assert tokens.ids(text.encode()) == b"".join(i.to_bytes(4, "little") for i in ids)

@@ -15,8 +15,12 @@ is left at powers of two, which need no padding.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from string import ascii_lowercase, ascii_uppercase
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -31,8 +35,9 @@ END = 1
 SLACK = 64
 #: So many workers of a round hand their open bins to one of the next.
 MERGE = 32
-#: Words (of up to WORD_BYTES) whose ids a task remembers.
-REMEMBERED, WORD_BYTES = 1 << 17, 64
+#: New words that a worker gathers before it forgets those it has not met since
+#: it last did; longer words than WORD_BYTES are not remembered.
+REMEMBERED, WORD_BYTES = 1 << 20, 64
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, worker long, ids binary"
 _PIECE = pa.schema([(x.split()[0], pa.binary() if x.endswith("binary") else pa.int64()) for x in PIECE.split(", ")])
@@ -41,31 +46,56 @@ _WIDTH = 4  # bytes of an id, little-endian
 
 class Tokens:
     """Ids of texts as bytes.  The tokenizer drops white space and no token
-    spans it, so a text's ids are those of its words, which are remembered."""
+    spans it, so a text's ids are those of its words, which are remembered.  If
+    the tokenizer takes ASCII letters of either case for the same, words are
+    remembered in lower case; a special token's name is not made by that."""
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def encode(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
-        words = list(words)
-        found = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        return {w: pa.array(e.ids, pa.uint32()).buffers()[1].to_pybytes()[: _WIDTH * len(e.ids)] if e.ids else b"" for w, e in zip(words, found, strict=True)}
-
-    def ids(self, text: str | None) -> bytes:
-        words = (text or "").encode().split()  # at ASCII white space
-        new = set(words) - self.known.keys()
-        long = self.encode(w for w in new if len(w) > WORD_BYTES)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, set(words)
-        self.known |= self.encode(new - long.keys())
-        if not long:
-            return b"".join(map(self.known.__getitem__, words))
-        return b"".join(self.known[w] if w in self.known else long[w] if w in long else self.encode([w])[w] for w in words)
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        normal = self.tokenizer.normalizer
+        self.caseless = normal is not None and all(normal.normalize_str(c) == c.lower() for c in ascii_uppercase)
+        # a word of ASCII letters that nothing changes or splits goes to the model itself
+        letters = "".join(a + b for a in ascii_lowercase for b in ascii_lowercase)
+        split = self.tokenizer.pre_tokenizer
+        self.whole_words = self.caseless and split is not None and normal.normalize_str(letters) == letters and [p for p, _ in split.pre_tokenize_str(letters)] == [letters]
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def learn(self, words: Iterable[bytes]) -> None:
+        older, fresh, known, tokenize = self.older, [], self.known, self.tokenizer.model.tokenize
+        for w in words:
+            if (ids := older.get(w)) is not None:
+                known[w] = ids
+            elif self.whole_words and w.isalpha() and w.islower():  # of ASCII letters, as bytes are
+                known[w] = array("I", [t.id for t in tokenize(w.decode())]).tobytes()
+            else:
+                fresh.append(w)
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
+        known.update((w, array("I", e.ids).tobytes()) for w, e in zip(fresh, found, strict=True))
+
+    def ids(self, text: bytes | None) -> bytes:
+        text, known = text or b"", self.known
+        if self.caseless:
+            low = text.lower()  # ASCII letters only
+            text = text if any(s in low for s in self.special) else low
+        words = text.split()  # at ASCII white space
+        new = set(words).difference(known)  # by the smaller of both
+        self.learn(new)
+        out = b"".join(map(known.__getitem__, words))
+        for w in new:
+            if len(w) > WORD_BYTES:
+                del known[w]
+        if len(known) > REMEMBERED:
+            self.known, self.older = {}, known
+        return out
+
+
+@lru_cache(1)
+def _tokens(path: str) -> Tokens:
+    """Those of a worker process, which goes from task to task."""
+    return Tokens(path)
 
 
 def piece_lengths(total: int, capacity: int = CAPACITY) -> list[int]:
@@ -152,11 +182,11 @@ def _first_id(round_: int) -> int:
 
 def _pack_texts(path: str, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, bins, last = Tokens(path), Bins(_first_id(0), capacity), end.to_bytes(_WIDTH, "little")
+        tokens, bins, last = _tokens(path), Bins(_first_id(0), capacity), end.to_bytes(_WIDTH, "little")
 
         def rows() -> Iterator[tuple]:
             for b in batches:
-                for doc_id, text in zip(b.column(0), b.column(1), strict=True):  # one text at a time
+                for doc_id, text in zip(b.column(0), b.column(1).cast(pa.binary()), strict=True):  # one text at a time
                     ids, at = tokens.ids(text.as_py()) + last, 0
                     n = len(ids) // _WIDTH
                     for length in piece_lengths(n, capacity):
