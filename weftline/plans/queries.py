@@ -245,7 +245,7 @@ hits as (select report_ord, id, sum(w.w * q.w) / (any_value(norm) * any_value(qn
 select id, report_ord, round(raw, 4) as score from hits where raw > 0 order by round(raw, 10) desc, report_ord limit 12"""
 
 
-@query(f"with {T.REPORTS_SQL}, {_TOKENS_SQL}, dfs as (select term, count(*) as df from tf group by 1) select term, dfs.df, round(df.idf, 6) as idf, round(max(w / norm), 6) as most from w join norm using (report_ord) join df using (term) join dfs using (term) group by all")
+@query(f"with {T.REPORTS_SQL}, {_TOKENS_SQL}, dfs as (select term, count(*) as df from tf group by 1) select term, dfs.df, round(df.idf, 6) as idf, round(max(w), 6) as most from w join df using (term) join dfs using (term) group by all")
 def tfidf_index(spark, sf_dir):
     """The terms of an index that is built anew, with what bounds their scores."""
     i = index.scratch_index(T.reports(spark, sf_dir))
