@@ -16,6 +16,7 @@ from weftline.operators import corroborate, entities, extract, geofence, graph,
 from weftline.plans import tables as T
 from weftline.plans.scenario import Fusion
 from weftline.sources import feed_source, feeds, sinks
+from weftline.streaming import tracks as stream_tracks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -364,6 +365,17 @@ def track_legs(spark, sf_dir):
     return _fusion(spark, sf_dir).legs.select("root", "seq", "km", "hours", "kmh")
 
 
+@query(f"""with {T.OBSERVATIONS_SQL}, pts as (select entity as key, id, ts, lat, lon, row_number() over (partition by entity order by ts, id) - 1 as seq from obs where lat is not null and entity <> ''),
+lg as (select a.key, b.id, b.seq, {_NEAR} as raw, (epoch_us(b.ts) - epoch_us(a.ts)) / 3.6e9 as h from pts a join pts b on a.key = b.key and b.seq = a.seq + 1)
+select key, id, seq::int as seq, round(raw, 3) as km, round(h, 4) as hours, case when h > 1e-6 then round(raw / h, 2) end as kmh from lg""")
+def stream_legs(spark, sf_dir):
+    """Legs of each named entity from a replay of the observations, a third of a month at a time."""
+    o = T.observations(spark, sf_dir).where("entity <> ''").withColumn("ts", scalars.parse_ts(F.col("timestamp")))
+    points = o.select(F.col("entity").alias("key"), "id", "ts", "lat", "lon", F.floor(F.dayofmonth("ts") / 11).alias("third"))
+    legs = stream_tracks.replay_tracks(points, "third", "12 days", idle="5000 days").where("kind = 'leg'")
+    return legs.select("key", "id", "seq", "km", "hours", "kmh")
+
+
 @query(f"with {_ENT_SQL}, {_LEGS_SQL} select root, count(*) as point_count, min(timestamp) as first_seen, max(timestamp) as last_seen, round(any_value(t), 3) as total_km from pts join (select root, sum(raw) as t from legs group by 1) using (root) group by root having count(*) >= 2")
 def track_summary(spark, sf_dir):
     return _fusion(spark, sf_dir).tracks
