@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from weftline.functions import scalars
 from weftline.functions.staging import scratch_dir
 from weftline.operators import corroborate, entities, extract, geofence, graph, index, metrics, normalize, retrieve, smalltarget, tracks
+from weftline.operators.kept_graph import KeptGraph
 from weftline.plans import tables as T
 from weftline.plans.scenario import Fusion
 from weftline.sources import feed_source, feeds, sinks
@@ -217,6 +218,27 @@ def correlate_entity(spark, sf_dir):
     return graph.correlate(graph.mention_nodes(m), graph.comention_edges(m), "Desk.7@mail.example.com").select("type", "value", "weight")
 
 
+def _kept_graph(spark, sf_dir) -> KeptGraph:
+    """The linked reports as batches, out of order and one of them twice."""
+    g = KeptGraph(spark, f"{scratch_dir(spark)}/weftline/graph-{uuid.uuid4().hex}")
+    m = extract.extract_indicators(T.linked_reports(spark, sf_dir))
+    for k in (2, 0, 2, 1):
+        g.merge(k, m.where(F.col("seq.report_ord") % 3 == k))
+        if k == 0:
+            g.compact()
+    return g
+
+
+@query(f"with {T.LINKED_SQL}, {_mentions_sql('linked')}, {_EDGES_SQL} select src, dst, weight from edges")
+def kept_graph_edges(spark, sf_dir):
+    return _kept_graph(spark, sf_dir).edges().select("src", "dst", "weight")
+
+
+@query(f"with {T.LINKED_SQL}, {_mentions_sql('linked')} select {_NODE} as id, type, lower(value) as key, arg_min(value, report_ord) as value, count(*) as mentions, md5(array_to_string(list_sort(list(distinct id)), '|')) as sources from mentions group by 1, 2, 3")
+def kept_graph_nodes(spark, sf_dir):
+    return _kept_graph(spark, sf_dir).nodes().select("id", "type", "key", "value", "mentions", F.md5(F.array_join("sources", "|")).alias("sources"))
+
+
 _STIX_KINDS = "case type " + " ".join(f"when '{t}' then '{k}:{p}'" for t, (k, p) in sinks.STIX_TYPES.items()) + " else 'x-entity:value' end"
 
 
