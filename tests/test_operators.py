@@ -83,6 +83,18 @@ def test_components_against_union_find(spark):
     assert {x["node"]: x["comp"] for x in got.collect()} == {n: find(n) for n in range(300)}
 
 
+def test_components_of_a_long_chain_and_a_hub(spark):
+    n = 100_000
+    chain = spark.range(n - 1).select(F.concat(F.lit("c"), "id").alias("a"), F.concat(F.lit("c"), F.col("id") + 1).alias("b"))
+    hub = spark.range(20_000).select(F.lit("hub").alias("a"), F.concat(F.lit("h"), "id").alias("b"))
+    nodes = chain.select("a").union(chain.select("b")).union(hub.select("a")).union(hub.select("b")).union(spark.range(5).select(F.concat(F.lit("x"), "id"))).distinct().toDF("node")
+    rounds = []
+    got = components(nodes, chain.union(hub).union(hub.select("b", "a")), rounds)
+    sizes = {r["comp"]: r["n"] for r in got.groupBy("comp").agg(F.count("*").alias("n")).collect()}
+    assert sizes == {"c0": n, "h0": 20_001} | {f"x{k}": 1 for k in range(5)}
+    assert len(rounds) <= 20 and all(later[0] < 0.6 * before[0] and later[1] < before[1] for before, later in zip(rounds, rounds[1:], strict=False) if before[0] > 100)
+
+
 def test_resolution_merges_and_keeps_apart(spark):
     o = obs(spark, [{"entity": "MV Grey Heron", "attributes": {"imo": "1"}}, {"entity": "grey-heron"}, {"entity": "Tern", "attributes": {"imo": "1"}, "timestamp": "2024-01-02"}, {"entity": "Gull"}, {"entity": ""}, {"entity": "Gull", "entity_type": "craft"}])
     c = {r["id"]: r["root"] for r in entities.cluster(o).collect()}

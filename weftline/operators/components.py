@@ -1,4 +1,4 @@
-"""Connected components of an undirected graph."""
+"""Connected components of an undirected graph, by contraction."""
 
 from __future__ import annotations
 
@@ -8,25 +8,54 @@ from pyspark.sql import functions as F
 from weftline.functions.staging import discard, stage
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _contracted(edges: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(node, to) of every node of edges (a, b), and the edges that are left.
+
+    Every node goes to the first of itself and its neighbours in the order of a
+    hash that is new in each round, so of a chain about a third of the nodes stay;
+    edges between nodes that went together are settled, and so is a node that has
+    no other edge: neither comes into a later round.
+    """
+    first = lambda c: F.xxhash64(F.lit(k), c)
+    both = edges.union(edges.select("b", "a"))
+    near = both.groupBy("a").agg(F.min(F.struct(first("b").alias("h"), F.col("b").alias("node"))).alias("near"))
+    own = F.struct(first("a").alias("h"), F.col("a").alias("node"))
+    moved = stage(near.select(F.col("a").alias("node"), F.least(own, F.col("near"))["node"].alias("to")), "cc-moved")
+    ends = lambda c: moved.select(F.col("node").alias(c), F.col("to").alias(f"to_{c}"))
+    # a node of very many edges is a skewed key whose other side has one row
+    left = edges.join(ends("a"), "a").join(ends("b"), "b").where("to_a <> to_b")
+    return moved, stage(left.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), "cc-edges")
+
+
+def components(nodes: DataFrame, edges: DataFrame, rounds: list[tuple[int, int]] | None = None) -> DataFrame:
     """node, comp: the least node that is reachable by edges (a, b).
 
-    Labels sink along edges and then jump to their label's label, so the number
-    of rounds follows the logarithm of the longest path rather than the path.
-    Each round is a written table: losing an executor costs no earlier round.
+    Edges are contracted until none is left, so what a round reads and writes
+    falls by a factor from round to round, and there are about as many rounds
+    as the logarithm of the number of nodes, however long a path is.  Then the
+    rounds are gone through backwards, each node taking the name of what it went
+    to.  Each round is a written table: losing an executor costs no earlier
+    round.  `rounds`, if given, gets the nodes and edges that each began with.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = stage(both.where("a <> b").distinct(), "cc-edges")
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp"))
-    last = labels = stage(labels, "cc-labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        sunk = stage(labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp")), "cc-sunk")
-        upper = sunk.select(F.col("node").alias("comp"), F.col("comp").alias("upper"))
-        jumped = stage(sunk.join(upper, "comp").select("node", "was", F.least("comp", "upper").alias("comp")), "cc-jumped")
-        discard(sunk, last)
-        last, labels = jumped, jumped.select("node", "comp")
-        if not jumped.where("comp < was").limit(1).count():
-            break
-    discard(both)
-    return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+    left = stage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
+    moves = []
+    while n := left.count():
+        moved, after = _contracted(left, len(moves))
+        if rounds is not None:
+            rounds.append((moved.count(), n))
+        moves.append(moved)
+        discard(left)
+        left = after
+    discard(left)
+    if not moves:
+        return nodes.select("node", F.col("node").alias("comp"))
+    names = moves[-1]
+    for moved in reversed(moves[:-1]):
+        last = names.select(F.col("node").alias("to"), F.col("to").alias("name"))
+        # what a node went to may have had no edge of its own any more
+        named = stage(moved.join(last, "to", "left").select("node", F.coalesce("name", "to").alias("to")), "cc-named")
+        discard(names, moved)
+        names = named
+    least = names.groupBy("to").agg(F.min("node").alias("comp"))
+    comp = names.join(least, "to").select("node", "comp")
+    return nodes.select("node").join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
