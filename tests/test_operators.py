@@ -95,6 +95,38 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     assert len(rounds) <= 20 and all(later[0] < 0.6 * before[0] and later[1] < before[1] for before, later in zip(rounds, rounds[1:], strict=False) if before[0] > 100)
 
 
+def test_near_pairs_of_all_points(spark, monkeypatch):
+    import numpy as np
+
+    from weftline.operators import colocation
+
+    r = np.random.default_rng(4)
+    spots = {"one": (10, 20), "pole": (90, 0), "line": (0, 180), "wide": (-40, 60)}
+    rows = []
+    for name, (lat, lon) in spots.items():
+        n, spread = (10_000, 0.15) if name == "one" else (700, 20 if name == "wide" else 0.2)
+        at = np.stack([lat + spread * r.standard_normal(n), lon + (spread * r.standard_normal(n) if name != "pole" else 360 * r.random(n))], 1)
+        at[:, 0] = np.where(at[:, 0] > 90, 180 - at[:, 0], at[:, 0])
+        at[:, 1] = (at[:, 1] + 180) % 360 - 180
+        at[: n // 10] = at[0]  # many at one place
+        rows += [(name, float(a), float(b)) for a, b in at]
+    rows += [("single", 1.0, 2.0), ("none", None, 1.0), (None, 1.0, 1.0), ("alike", 5.0, 5.0), ("alike", 5.0, 5.0), ("alike", 5.0, 5.0)]
+    got = {x["root"]: (x["points"], x["near"]) for x in colocation.near_pairs(spark.createDataFrame(rows, "root string, lat double, lon double"), 25.0).collect()}
+
+    def brute(name):
+        p = np.radians([x[1:] for x in rows if x[0] == name])
+        near = 0
+        for k in range(len(p) - 1):
+            a, b = p[k], p[k + 1 :]
+            h = np.sin((b[:, 0] - a[0]) / 2) ** 2 + np.cos(a[0]) * np.cos(b[:, 0]) * np.sin((b[:, 1] - a[1]) / 2) ** 2
+            near += int((2 * scalars.EARTH_RADIUS_KM * np.arcsin(np.minimum(1, np.sqrt(h))) <= 25).sum())
+        return len(p), near
+
+    assert got == {name: brute(name) for name in (*spots, "alike")} | {"single": (1, 0)}
+    share = corroborate.colocation(spark.createDataFrame(rows[800:2000], "root string, lat double, lon double"), points=None).collect()
+    assert [x["root"] for x in share] == ["one"] and 0 < share[0]["colocation"] < 1
+
+
 def test_resolution_merges_and_keeps_apart(spark):
     o = obs(spark, [{"entity": "MV Grey Heron", "attributes": {"imo": "1"}}, {"entity": "grey-heron"}, {"entity": "Tern", "attributes": {"imo": "1"}, "timestamp": "2024-01-02"}, {"entity": "Gull"}, {"entity": ""}, {"entity": "Gull", "entity_type": "craft"}])
     c = {r["id"]: r["root"] for r in entities.cluster(o).collect()}

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.scalars import haversine_km, hours_between, observation_confidence, parse_ts
+from weftline.operators.colocation import near_pairs
 
 # fixed values
 MAX_PLAUSIBLE_KMH = 1200.0
@@ -17,9 +18,12 @@ COLOCATION_POINTS = 60
 EXCLUSIVE = ("entity_type", "status", "flag_state", "affiliation")
 
 
-def colocation(entity_obs: DataFrame, key: str = "root", points: int = COLOCATION_POINTS) -> DataFrame:
+def colocation(entity_obs: DataFrame, key: str = "root", points: int | None = COLOCATION_POINTS) -> DataFrame:
     """key, colocation: the share of pairs, of an entity's first `points` points
-    (all of them if it is large enough), within COLOCATION_KM."""
+    (None: of all, counted by cubes), within COLOCATION_KM."""
+    if points is None:
+        every = near_pairs(entity_obs, COLOCATION_KM, key).where("points > 1")
+        return every.select(key, (F.col("near") / (F.col("points") * (F.col("points") - 1) / 2)).alias("colocation"))
     order = Window.partitionBy(key).orderBy("timestamp", "id")
     geo = entity_obs.where("lat is not null and lon is not null").select(key, "lat", "lon", F.row_number().over(order).alias("rn")).where(F.col("rn") <= points)
     a, b = geo.alias("a"), geo.alias("b")
@@ -32,7 +36,7 @@ def band(score: Column, disciplines: Column, sources: Column) -> Column:
     return F.when((sources <= 1) & (disciplines <= 1), "single-source").when(score >= 0.72, "strong").when(score >= 0.45, "moderate").otherwise("weak")
 
 
-def corroboration(entity_obs: DataFrame, key: str = "root", points: int = COLOCATION_POINTS) -> DataFrame:
+def corroboration(entity_obs: DataFrame, key: str = "root", points: int | None = COLOCATION_POINTS) -> DataFrame:
     """key, n_disciplines, n_sources, mean_confidence, colocation, score, band."""
     g = entity_obs.groupBy(key).agg(
         F.countDistinct("discipline").alias("n_disciplines"), F.countDistinct("source").alias("n_sources"),

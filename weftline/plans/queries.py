@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import scalars
 from weftline.functions.staging import scratch_dir
-from weftline.operators import corroborate, entities, extract, geofence, graph, index, metrics, normalize, retrieve, smalltarget, tracks
+from weftline.operators import colocation, corroborate, entities, extract, geofence, graph, index, metrics, normalize, retrieve, smalltarget, tracks
 from weftline.operators.kept_graph import KeptGraph
 from weftline.plans import tables as T
 from weftline.plans.scenario import Fusion
@@ -356,6 +356,14 @@ def corroboration(spark, sf_dir):
     return c.select("root", "n_disciplines", "n_sources", F.round("mean_confidence", 4).alias("mean_confidence"), F.round("colocation", 4).alias("colocation"), F.round("score", 3).alias("score"), "band")
 
 
+@query(f"""with {T.OBSERVATIONS_SQL}, g as (select entity, lat, lon, row_number() over (partition by entity order by id) as rn from obs where lat is not null and entity <> ''),
+p as (select a.entity, count(*) filter ({_NEAR} <= 25) as near from g a join g b on a.entity = b.entity and a.rn < b.rn group by 1)
+select entity, count(*) as points, coalesce(any_value(near), 0) as near from g left join p using (entity) group by 1""")
+def colocation_pairs(spark, sf_dir):
+    """All points of each named entity: their number, and the pairs within 25 km."""
+    return colocation.near_pairs(T.observations(spark, sf_dir).where("entity <> ''"), corroborate.COLOCATION_KM, "entity")
+
+
 _HOURS = "epoch_us({}) - epoch_us({})"
 
 
