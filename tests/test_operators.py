@@ -315,3 +315,10 @@ def test_scenario_file(spark, tmp_path):
     assert load_gazetteer(spark, str(g)) == {"org": {"A": ["b"]}}
     rows = sinks.fusion_json(f.observations, f.entities).collect()
     assert [r["part"] for r in sorted(rows, key=lambda r: r["part"])] == ["entities"] * f.entities.count() + ["observations"] * 2
+
+
+def test_evaluations_of_small_gold(spark):
+    from weftline.plans import evaluate
+
+    for run, want in ((evaluate.core_evaluation, evaluate.CORE_EXPECTED), (evaluate.fusion_evaluation, evaluate.FUSION_EXPECTED)):
+        assert {r["metric"]: r["value"] for r in run(spark).collect()} == want

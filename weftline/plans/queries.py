@@ -46,9 +46,15 @@ def _join(column: str) -> F.Column:
 _CATALOG_SQL = "values " + ", ".join(f"('{n}', '{c}', {str(k).lower()}, '{a}')" for n, c, _, k, a, _ in feeds.CATALOG)
 
 
-@query(f"select category, count(*) as feeds, count(*) filter (keyless) as keyless, string_agg(distinct adapter, ',' order by adapter) as adapters from ({_CATALOG_SQL}) t(name, category, keyless, adapter) group by category")
+@query(f"""with c as (select *, row_number() over (order by name) - 1 as k from ({_CATALOG_SQL}) t(name, category, keyless, adapter)), e as (select event_id % {len(feeds.CATALOG)} as k, count(*) as n from events group by 1)
+select category, count(*) as feeds, count(*) filter (keyless) as keyless, string_agg(distinct adapter, ',' order by adapter) as adapters, coalesce(sum(n), 0)::bigint as reports from c left join e using (k) group by category""")
 def feed_catalog_stats(spark, sf_dir):
-    return feeds.catalog_stats(spark)
+    """The catalogue by category, with the events that its feeds are taken to report."""
+    names = sorted(row[0] for row in feeds.CATALOG)
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("event_id") % len(names) + 1).cast("int"))
+    by_feed = T.table(spark, sf_dir, "events").groupBy(name.alias("name")).agg(F.count("*").alias("n"))
+    reports = feeds.catalog(spark).join(by_feed, "name", "left").groupBy("category").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("reports"))
+    return feeds.catalog_stats(spark).join(reports, "category")
 
 
 @query("select event_type || '-' || substr(sha1(event_id::varchar), 1, 10) as id, strftime(ts, '%Y-%m-%d') as timestamp, event_type as source, 'unit ' || user_id || ' (example.com)' as text from events")
