@@ -95,6 +95,23 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     assert len(rounds) <= 20 and all(later[0] < 0.6 * before[0] and later[1] < before[1] for before, later in zip(rounds, rounds[1:], strict=False) if before[0] > 100)
 
 
+def test_zones_of_every_size_and_place(spark):
+    r = random.Random(12)
+    places = [(0, 0), (89.99, 20), (-90, 0), (10, 180), (-15, -179.99), (60, 100), (45, -45)]
+    zones = [(f"z{k}.{radius}", float(lat), float(lon), float(radius), "restricted", "", []) for k, (lat, lon) in enumerate(places) for radius in (0, 0.01, 3, 150, 1000, 4500, 9000, 20_100)]
+    spots = [(lat + r.choice([0, 1e-7, 0.01, 1, 20]) * r.uniform(-1, 1), (lon + r.choice([0, 1e-7, 0.01, 1, 40, 180]) * r.uniform(-1, 1) + 180) % 360 - 180) for lat, lon in places for _ in range(30)]
+    spots = [(max(-90.0, min(90.0, float(a))), float(b)) for a, b in spots] + [(90.0, 180.0), (-90.0, -180.0), (0.0, 180.0), (0.0, -180.0)]
+    o = obs(spark, [{"lat": a, "lon": b} for a, b in spots])
+    z = spark.createDataFrame(zones, geofence.ZONE_SCHEMA)
+    assert max(c["count"] for c in geofence.zone_cells(z).groupBy("name").count().collect()) <= (2 * geofence.SPAN + 1) ** 2
+    every = o.select(F.col("id").alias("oid"), F.col("lat").alias("a"), F.col("lon").alias("b")).crossJoin(z)  # few of both
+    d = scalars.haversine_km(F.col("a"), F.col("b"), F.col("lat"), F.col("lon"))
+    want = sorted((x["name"], x["oid"], x["d"] <= x["radius_km"]) for x in every.withColumn("d", d).where(F.col("d") <= F.col("radius_km") * 1.5).collect())
+    got = sorted((x["zone"], x["observation_id"], x["status"] == "inside") for x in geofence.evaluate(o, z).collect())
+    assert got == want and len(got) > 2000
+    assert geofence.evaluate(o, z.limit(0)).count() == 0
+
+
 def test_near_pairs_of_all_points(spark, monkeypatch):
     import numpy as np
 
