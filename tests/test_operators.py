@@ -95,6 +95,40 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     assert len(rounds) <= 20 and all(later[0] < 0.6 * before[0] and later[1] < before[1] for before, later in zip(rounds, rounds[1:], strict=False) if before[0] > 100)
 
 
+def test_moving_centres_in_a_grid():
+    r = random.Random(13)
+
+    def walked(points, radius):  # past all centres, one by one
+        centres = []
+        for lat, lon in points:
+            for c in centres:
+                if tracks._km(c[0], c[1], lat, lon) <= radius:
+                    c[2] += 1
+                    c[0], c[1] = c[0] + (lat - c[0]) / c[2], c[1] + (lon - c[1]) / c[2]
+                    break
+            else:
+                centres.append([lat, lon, 1])
+        return centres
+
+    for at, spread, radius in (((0, 0), 0.3, 5), ((89.5, 0), 0.5, 20), ((10, 179.9), 0.3, 5), ((40, 10), 5, 100), ((0, 0), 60, 3000), ((0, 0), 0.01, 0)):
+        points = [(max(-90.0, min(90.0, at[0] + r.gauss(0, spread))), (at[1] + r.gauss(0, spread) * (1 if at[0] < 80 else 200) + 180) % 360 - 180) for _ in range(600)]
+        points += points[:50]
+        grid = tracks._Centres(radius)
+        for p in points:
+            grid.add(*p)
+        assert [c[:3] for c in grid.all] == walked(points, radius)
+
+
+def test_a_track_of_very_many_areas(spark):
+    import time
+
+    n = 300_000  # over 10,000 places that are 11 km apart
+    points = spark.range(n).select(F.lit("k").alias("root"), F.col("id").alias("seq"), ((F.col("id") * 7919 % 100) * 0.1).alias("lat"), ((F.floor(F.col("id") / 100) % 100) * 0.1).alias("lon"))
+    began = time.time()
+    got = tracks.dwell_areas(points).collect()
+    assert len(got) == 10_000 and {a["n"] for a in got} == {30} and time.time() - began < 60
+
+
 def test_zones_of_every_size_and_place(spark):
     r = random.Random(12)
     places = [(0, 0), (89.99, 20), (-90, 0), (10, 180), (-15, -179.99), (60, 100), (45, -45)]

@@ -58,28 +58,55 @@ def peak_hours(hours: DataFrame, key: str = "root", top: int = 4) -> DataFrame:
     return best.groupBy(key).agg(F.array_sort(F.collect_list("hour")).alias("peak_hours"))
 
 
+class _Centres:
+    """Running centres in a grid of cubes whose side is the radius, so that the
+    centres near a point are in the cubes around its own.  A centre that moves to
+    another cube is filed anew."""
+
+    def __init__(self, radius_km: float):
+        self.radius_km, self.all, self.grid = radius_km, [], {}
+        self.side = 2 * math.sin(min(radius_km / (2 * EARTH_RADIUS_KM), math.pi / 2)) * (1 + 1e-9) or 1e-12
+
+    def cube(self, lat: float, lon: float) -> tuple[int, int, int]:
+        a, b = math.radians(lat), math.radians(lon)
+        c = math.cos(a)
+        return math.floor(c * math.cos(b) / self.side), math.floor(c * math.sin(b) / self.side), math.floor(math.sin(a) / self.side)
+
+    def add(self, lat: float, lon: float) -> None:
+        """To the first centre within the radius, in the order in which they came up, or to a new one."""
+        x, y, z = self.cube(lat, lon)
+        near = [k for i in (x - 1, x, x + 1) for j in (y - 1, y, y + 1) for c in (z - 1, z, z + 1) for k in self.grid.get((i, j, c), ())]
+        for k in sorted(near):
+            c = self.all[k]
+            if _km(c[0], c[1], lat, lon) <= self.radius_km:
+                c[2] += 1
+                c[0], c[1] = c[0] + (lat - c[0]) / c[2], c[1] + (lon - c[1]) / c[2]
+                if (cube := self.cube(c[0], c[1])) != c[3]:
+                    self.grid[c[3]].remove(k)
+                    self.grid.setdefault(cube, []).append(k)
+                    c[3] = cube
+                return
+        self.grid.setdefault((x, y, z), []).append(len(self.all))
+        self.all.append([lat, lon, 1, (x, y, z)])
+
+
 def _areas(batches: Iterator[pa.RecordBatch], radius_km: float) -> Iterator[pa.RecordBatch]:
     """Points by key and in order to clusters.  Only the running centres of one
     key are held, whatever its number of points."""
-    key, centres = None, []
+    key, centres = None, _Centres(radius_km)
 
     def told() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([key] * len(centres)), pa.array([c[0] for c in centres]), pa.array([c[1] for c in centres]), pa.array([c[2] for c in centres], pa.int32())], names=["key", "lat", "lon", "n"])
+        c = centres.all
+        return pa.RecordBatch.from_arrays([pa.array([key] * len(c)), pa.array([x[0] for x in c]), pa.array([x[1] for x in c]), pa.array([x[2] for x in c], pa.int32())], names=["key", "lat", "lon", "n"])
 
     for batch in batches:
         for k, lat, lon in zip(*(batch[c].to_pylist() for c in ("key", "lat", "lon"))):
             if k != key:
-                if centres:
+                if centres.all:
                     yield told()
-                key, centres = k, []
-            for c in centres:
-                if _km(c[0], c[1], lat, lon) <= radius_km:
-                    c[2] += 1
-                    c[0], c[1] = c[0] + (lat - c[0]) / c[2], c[1] + (lon - c[1]) / c[2]
-                    break
-            else:
-                centres.append([lat, lon, 1])
-    if centres:
+                key, centres = k, _Centres(radius_km)
+            centres.add(lat, lon)
+    if centres.all:
         yield told()
 
 
