@@ -156,7 +156,7 @@ def dashboard_html(fusion, most: int = 20, most_points: int = 2000) -> str:
         body = "".join("<tr>" + "".join(f"<td>{e(str(r[c]))}</td>" for c in columns) + "</tr>" for r in rows)
         return f"<h2>{e(title)}</h2><table><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table>"
 
-    points = project(fusion.observations.where("lat is not null and lon is not null").select("id", "discipline", "entity", "lat", "lon").limit(most_points)).collect()
+    points = project(fusion.observations.where("lat is not null and lon is not null").select("id", "discipline", "entity", "lat", "lon").orderBy("id").limit(most_points)).collect()
     dots = "".join(f'<circle cx="{p["x"]}" cy="{p["y"]}" r="3"><title>{e(p["discipline"])} {e(p["entity"])}</title></circle>' for p in points)
     c = fusion.counts.first().asDict()
     parts = [
