@@ -58,8 +58,8 @@ def _fusion(spark: SparkSession, path: str | None) -> Fusion:
 
 
 def _print_rows(df: DataFrame) -> None:
-    """All rows as JSON lines, a partition at a time."""
-    for r in sinks.as_json(df).toLocalIterator():
+    """All rows as JSON lines, a partition at a time; objects are JSON already."""
+    for r in (df if df.columns == ["object"] else sinks.as_json(df)).toLocalIterator():
         print(r["object"])
 
 
