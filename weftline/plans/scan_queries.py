@@ -80,7 +80,7 @@ def zone_file_scan(spark, sf_dir):
     return z.select("name", "lat", "lon", "radius_km", "kind", "note", F.array_join("watch_entity_types", "|").alias("watched"))
 
 
-_WANTED = "0000017"
+_WANTED = "000001"
 
 
 @query(f"""with {Q._ENT_SQL}, {Q._ENTITIES_SQL}, {Q._SCORES_SQL}
