@@ -160,5 +160,5 @@ def stream_reports(spark: SparkSession, within: str = "7 days", limit_per: int |
     is `within` behind the last fetch, remembers it."""
     spark.dataSource.register(FeedSource)
     got = _configured(spark.readStream, options).load().where("error is null")
-    reports = payload_reports(got, limit_per, "fetched").select("id", "timestamp", "source", "text", "fetched")
-    return reports.withWatermark("fetched", within).dropDuplicatesWithinWatermark(["id"])
+    reports = payload_reports(got, limit_per, "fetched").select("id", "timestamp", "source", "text", "fetched", "key")
+    return reports.withWatermark("fetched", within).dropDuplicatesWithinWatermark(["id", "key"]).drop("key")
