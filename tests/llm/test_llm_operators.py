@@ -717,3 +717,14 @@ def test_quality_takes_every_trusted_document(spark):
     scores = spark.createDataFrame([(float(v),) for v in values], "s double")
     for q in (0.01, 0.5, 0.999):
         assert op3_quality.quantile(scores, q, len(values)) == pytest.approx(np.quantile(values, q), rel=1e-12)
+
+
+def test_quality_shuffles_trusted_texts_only(spark):
+    """Texts that are not trusted stay out of the join, which is of one kind at every size."""
+    texts = spark.createDataFrame([(i, prose(5, i)) for i in range(3000)] + [(7, "again"), (None, "no id")], "doc_id long, text string")
+    ids = op3_quality.trusted_ids(spark.createDataFrame([(i,) for i in range(0, 400, 10)] + [(99999,), (None,)], "doc_id long"))
+    assert op3_quality.maybe_trusted(texts, ids).count() <= 45
+    got = op3_quality.trusted_texts(texts, ids)
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(0, 400, 10))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,8 @@ FEATURES = BUCKETS + 1
 #: Scores that are put together at most when a quantile is sought, and bins that
 #: their range is cut into while there are more.
 FEW, BINS = 10_000, 1024
+#: Bits, as a power of two, of the map of trusted ids that texts pass before they are joined.
+ID_BITS = 24
 #: Width of the n-grams in bytes.
 NGRAM = 4
 #: The target is smoothed by the raw corpus, as if it had this share of n-grams
@@ -106,6 +108,32 @@ def trusted_ids(trusted: DataFrame) -> DataFrame:
     return good.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int"))
 
 
+def _id_place() -> Column:
+    return F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - ID_BITS)
+
+
+def maybe_trusted(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of texts whose doc_id may be one of ids: all that are, and of the
+    others as many as the map of 2^ID_BITS bits has bits set."""
+    word = F.shiftright(_id_place(), 6)
+    set_bits = ids.select(word.alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(doc_id), {64 - ID_BITS}) & 63 as int))").alias("bit"))
+    known = np.zeros(1 << (ID_BITS - 6), np.int64)
+    for r in set_bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():  # 2^ID_BITS / 64 rows at most
+        known[r["word"]] = r["bits"]
+
+    def may_be(place: pd.Series) -> pd.Series:
+        at = place.to_numpy(np.int64)
+        return pd.Series((known[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return texts.where(F.pandas_udf(may_be, T.BooleanType())(_id_place()))
+
+
+def trusted_texts(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, text, fold of the trusted documents.  The join is the same whatever
+    the number of ids, and what it shuffles is little more than their texts."""
+    return maybe_trusted(texts, ids).join(ids.hint("merge"), "doc_id")
+
+
 def ngram_counts(docs: DataFrame, good: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Counts by bucket of the raw corpus, and of both folds of the trusted
     (good: text and fold).
@@ -219,8 +247,7 @@ NUMBERS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 def verdicts(docs: DataFrame, trusted: DataFrame, threshold: float | None = None) -> DataFrame:
     """docs as they are, and a column __quality of what quality_rules tells."""
     ids = stage(trusted_ids(trusted), "quality-trusted")
-    # the ids are broadcast if Spark finds them small; their texts are read twice
-    good = stage(only(docs, doc_id="long", text="string").join(ids, "doc_id"), "quality-texts")
+    good = stage(trusted_texts(only(docs, doc_id="long", text="string"), ids), "quality-texts")  # read twice
     raw, folds = ngram_counts(docs, good)
     ratios = log_ratios(raw, folds.sum(axis=0))
     least = fitted_threshold(good, raw, folds) if threshold is None else threshold
