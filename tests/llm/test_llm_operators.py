@@ -461,6 +461,29 @@ def test_near_duplicates_of_hot_groups(spark, monkeypatch):
     assert {(g["doc_id"], g["class_id"]) for g in got} == {(d, c) for (d, _), c in classes_of(rows).items()}
 
 
+def test_near_duplicates_hold_few_texts_at_once(spark, monkeypatch):
+    """A task takes and gives parts of bounded bytes, whatever a batch holds, and Python reads texts once."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(op6_neardup, "CHUNK_BYTES", 1000)
+    texts = [prose(n, n) for n in (5, 900, 5, 5, 0, 5)] + [None] + [prose(30, k) for k in range(600)]
+    n = len(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array([False] * n), pa.array(range(n)), pa.array(texts), pa.array(["k"] * n)], names=["no_id", "rk", "text", "text_key"])
+    parts = list(op6_neardup._parts(iter([batch, batch.slice(0, 0)])))
+    assert all(p.num_rows <= op6_neardup.CHUNK and (p.num_rows == 1 or sum(len(t or "") for t in p["text"].to_pylist()) <= 1000) for p in parts)
+    assert [t for p in parts for t in p["text"].to_pylist()] == texts
+    told = list(op6_neardup._sketches(iter([batch])))
+    assert [t.num_rows for t in told] == [p.num_rows for p in parts]
+    cache = op6_neardup.WordHashes()
+    want = [len(np.unique(op6_neardup.shingles(op6_neardup.word_hashes(t, cache)))) for t in texts]
+    assert [len(s) for t in told for s in t["shingles"].to_pylist()] == want
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with common.small_batches(spark, 7):
+        assert spark.conf.get(name) == "7"
+    assert spark.conf.get(name) == before
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     a = op6_neardup.mix64(np.arange(1, 401, dtype=np.uint64))
     b = np.concatenate([a[:300], op6_neardup.mix64(np.arange(900, 1000, dtype=np.uint64))])

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions.staging import discard, scratch_dir, stage
 
-__all__ = ["LONGS", "MIN_SIMILARITY", "SHINGLE_WORDS", "WORD", "WordHashes", "discard", "let", "mix64", "only", "powers", "scratch_dir", "shingles", "spread_join", "stage", "unit_interval", "window_hashes", "word_count", "word_hashes"]
+__all__ = ["LONGS", "MIN_SIMILARITY", "SHINGLE_WORDS", "WORD", "WordHashes", "discard", "let", "mix64", "only", "powers", "scratch_dir", "shingles", "small_batches", "spread_join", "stage", "unit_interval", "window_hashes", "word_count", "word_hashes"]
 
 #: A word, as the contracts define it: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,6 +45,19 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Jobs that are run within hand Python at most so many rows at once: a batch
+    of whole texts stands in memory on both sides, beside the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows if int(before) <= 0 else min(rows, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 #: A key is hot if it has more rows than this, and more than a thousandth of all.
 HOT_ROWS = 500
 _HOT_SHARE = 1000

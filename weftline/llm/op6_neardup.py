@@ -23,19 +23,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.components import components
 
-from .common import MIN_SIMILARITY, WordHashes, discard, mix64, only, shingles, spread_join, stage, word_hashes
+from .common import MIN_SIMILARITY, WordHashes, discard, mix64, only, shingles, small_batches, spread_join, stage, word_hashes
 
 BANDS = 25
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8^5)^25 < 5e-5.
 ROWS = 5
-#: Texts whose darts are thrown together.
-CHUNK = 256
+#: Texts whose darts are thrown together, and the bytes that they have at most.
+CHUNK, CHUNK_BYTES = 256, 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -105,28 +106,35 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> n
     return mix64(key + np.arange(bands, dtype=np.uint64) * _P).view(np.int64)
 
 
-def _bands_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cache = WordHashes()
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in order, in parts of at most CHUNK rows and, but for a longer
+    text alone, CHUNK_BYTES of text: only these are taken out of Arrow at once."""
     for rows in batches:
-        for at in range(0, len(rows), CHUNK):
-            part = rows.iloc[at : at + CHUNK]
-            sets = [np.unique(shingles(word_hashes(t, cache))) for t in part["text"]]
-            full = [i for i, s in enumerate(sets) if len(s)]
-            bands: list = [[] for _ in sets]
-            if full:
-                keys = band_keys(dart_minhash([sets[i] for i in full], [np.ones(len(sets[i])) for i in full], BANDS * ROWS))
-                for i, key in zip(full, keys):
-                    bands[i] = key
-            # ids go as they came: none of these columns has nulls, so none turns into floats
-            yield part[["no_id", "rk", "text_key"]].assign(bands=bands)
-
-
-def _sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = size = 0
+        for k, n in enumerate(pc.fill_null(pc.binary_length(rows["text"]), 0).to_pylist()):
+            if k > at and (k - at == CHUNK or size + n > CHUNK_BYTES):
+                yield rows.slice(at, k - at)
+                at, size = k, 0
+            size += n
+        if at < rows.num_rows:
+            yield rows.slice(at)
+
+
+def _lists(values: np.ndarray, lengths: list[int]) -> pa.Array:
+    """The values cut into lists of these lengths."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(values))
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = WordHashes()
-    for rows in batches:
+    for part in _parts(batches):
+        sets = [np.unique(shingles(word_hashes(t, cache))) for t in part["text"].to_pylist()]
+        full = [s for s in sets if len(s)]
+        keys = band_keys(dart_minhash(full, [np.ones(len(s)) for s in full], BANDS * ROWS)).ravel() if full else np.empty(0, np.int64)
+        bands = _lists(keys, [BANDS if len(s) else 0 for s in sets])
         # 32 bits of each shingle's hash: in two texts of 10^4 shingles 0.02 of them agree by chance
-        sets = [np.unique((shingles(word_hashes(t, cache)) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in rows["text"]]
-        yield pd.DataFrame({"node": rows["node"], "shingles": sets})
+        short = [np.unique((s >> np.uint64(32)).astype(np.uint32)).view(np.int32) for s in sets]
+        yield pa.RecordBatch.from_arrays([part["no_id"], part["rk"], part["text_key"], bands, _lists(np.concatenate(short), [len(s) for s in short])], names=["no_id", "rk", "text_key", "bands", "shingles"])
 
 
 def _members(nodes: DataFrame) -> DataFrame:
@@ -209,7 +217,8 @@ def near_duplicates(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) ->
     # null texts are kept apart: the key of each is its id
     key = F.when(F.col("text").isNotNull(), F.md5("text")).otherwise(F.concat(F.lit("null "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     keyed = d.select(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("rk"), "text", key.alias("text_key"))
-    rows = stage(keyed.mapInPandas(_bands_of, "no_id boolean, rk long, text_key string, bands array<long>"), "dart-bands")
+    with small_batches(d.sparkSession):
+        rows = stage(keyed.mapInArrow(_sketches, "no_id boolean, rk long, text_key string, bands array<long>, shingles array<int>"), "dart-bands")
     # one node for each different text
     at = F.struct("no_id", "rk")
     first = rows.groupBy("text_key").agg(F.min(at).alias("at"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
@@ -218,8 +227,8 @@ def near_duplicates(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) ->
     pairs = stage(members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "dart-pairs")
     sought = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     sought = nodes.join(sought, "node").select("node", "text_key", "at.no_id", "at.rk")
-    texts = keyed.join(sought, ["no_id", "rk", "text_key"]).select("node", "text")
-    sets = stage(texts.mapInPandas(_sets_of, "node long, shingles array<int>").dropDuplicates(["node"]), "dart-sets")
+    own = rows.select("no_id", "rk", "text_key", "shingles").join(sought, ["no_id", "rk", "text_key"])
+    sets = stage(own.select("node", "shingles").dropDuplicates(["node"]), "dart-sets")
     tested = stage(_verified(pairs, sets), "dart-tested")
     links = tested.where(F.col("similarity") >= min_similarity).select("a", "b")
     comp = stage(components(nodes, links), "dart-classes")
