@@ -179,6 +179,16 @@ def test_near_pairs_of_all_points(spark, monkeypatch):
     assert [x["root"] for x in share] == ["one"] and 0 < share[0]["colocation"] < 1
 
 
+def test_colocation_counts_every_point(spark):
+    """Of 63 points the last three in time are far from the first 60, and from each other."""
+    o = obs(spark, [{"entity": "Heron", "timestamp": f"2024-01-01T00:00:{k:02}Z", "lat": 10.0, "lon": 20.0} for k in range(60)] + [{"entity": "Heron", "timestamp": f"2024-02-0{k}T00:00:00Z", "lat": 10.0 + 5 * k, "lon": 20.0} for k in (1, 2, 3)])
+    f = Fusion("co", o)
+    (row,) = f.corroboration.collect()
+    assert row["colocation"] == pytest.approx((60 * 59) / (63 * 62)) and row["band"] == "single-source"
+    (row,) = corroborate.colocation(f.entity_obs, points=60).collect()
+    assert row["colocation"] == 1.0
+
+
 def test_resolution_merges_and_keeps_apart(spark):
     o = obs(spark, [{"entity": "MV Grey Heron", "attributes": {"imo": "1"}}, {"entity": "grey-heron"}, {"entity": "Tern", "attributes": {"imo": "1"}, "timestamp": "2024-01-02"}, {"entity": "Gull"}, {"entity": ""}, {"entity": "Gull", "entity_type": "craft"}])
     c = {r["id"]: r["root"] for r in entities.cluster(o).collect()}
