@@ -199,6 +199,15 @@ def test_resolution_merges_and_keeps_apart(spark):
     assert entities.identifier_conflicts(e).count() == 0
 
 
+def test_exploded_names_are_not_broadcast(spark):
+    """Few names are many sequences and tokens, which grow with them; their joins shuffle."""
+    names = spark.createDataFrame([("v", f"unit {k:07}") for k in range(50)], "etype string, name string")
+    for df in (entities._held(names), entities._alike(names, 0.6)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not [line for line in plan.split("\n") if re.search(r"BroadcastHashJoin.*(gram|token)#", line)]
+        assert re.search(r"SortMergeJoin.*(gram|token)#", plan)
+
+
 def test_similar_names_against_all_pairs(spark):
     r = random.Random(2)
     tokens = ["red", "blue", "heron", "lady", "of", "sea", "x1", "x10"]
