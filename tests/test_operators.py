@@ -48,6 +48,35 @@ def test_mentions_have_their_places(spark):
     assert r["grey heron"]["canonical"] == "Grey Heron" and r["grey heron"]["mentions"] == 4 and r["grey heron"]["sources"] == ["R-1", "R-2"]
 
 
+def test_mentions_are_found_once_for_an_evaluation(spark, monkeypatch):
+    from weftline.plans import evaluate
+
+    seen, made = spark.sparkContext.accumulator(0), extract.extract
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    def found(reports, gazetteer=None):
+        m = made(reports, gazetteer)
+        return m.mapInArrow(counted, m.schema)
+
+    monkeypatch.setattr(evaluate.extract, "extract", found)
+    got = {r["metric"]: r["value"] for r in evaluate.core_evaluation(spark).collect()}
+    rows = spark.createDataFrame([(k, i, t) for k, i, t in evaluate._REPORTS], "report_ord long, id string, text string")
+    assert got == evaluate.CORE_EXPECTED and seen.value == made(rows, evaluate._GAZETTEER).count()
+
+
+def test_an_answer_writes_no_edges(spark, monkeypatch):
+    from weftline.plans import answer
+
+    names, write = [], answer.stage
+    monkeypatch.setattr(answer, "stage", lambda df, name, **o: names.append(name) or write(df, name, **o))
+    got = Answers(reports(spark), GAZETTEER).answer("wallet addr-9f3kd2 again", 2)
+    assert names == ["mentions"] and got["citations"][0] == "R-3" and {c["value"] for c in got["correlated"]} == {"Grey Heron", "https://Example.com/X.".lower(), "36.1234, -5.4321", "198.51.100.7"}
+
+
 def test_graph_and_answer(spark):
     a = Answers(reports(spark), GAZETTEER)
     near = {r["value"]: r["weight"] for r in graph.correlate(a.nodes, a.edges, "grey heron").collect()}
